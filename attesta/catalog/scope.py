@@ -50,14 +50,14 @@ def filter_scope_lists(spark, sf_dir):
 
 @query(
     "channel_allow_list",
-    "SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 3 = 1 AND turn IN (0, 1, 2)",
+    "SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant') AND length(text) > 400 AND turn IN (0, 1, 2)",
 )
 def channel_allow_list(spark, sf_dir):
     turns = corpus.table(spark, sf_dir, "conversations").withColumns(
-        {"actor_id": F.col("role"), "conversation_id": (F.col("conv_id") % 3).cast("string"), "reply_target": F.lit(None).cast("string"),
+        {"actor_id": F.col("role"), "conversation_id": F.when(F.char_length("text") > 400, F.lit("long-form")).otherwise(F.lit("short")), "reply_target": F.lit(None).cast("string"),
          "message_id": F.col("turn").cast("string"), "auth_scope": F.lit("internal")}
     )
-    return turns.where(O.allow_list(["user", "assistant"], ["1"], ["0", "1", "2"])).select("conv_id", "turn", "role")
+    return turns.where(O.allow_list(["user", "assistant"], ["long-form"], ["0", "1", "2"])).select("conv_id", "turn", "role")
 
 
 @query(
