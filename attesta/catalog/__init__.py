@@ -28,5 +28,5 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def load() -> None:
     from attesta.catalog import (  # noqa: F401
-        identity, ingestion, retrieval, scope, storage,
+        coding, extraction, identity, ingestion, retrieval, scope, search, storage,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import strip
+from attesta.functions.text import strip, unicode_aware
 
 # The extraction patterns of the evidence contract.
 CORRELATION_ID = r"(?i)(?:correlation[_-]?id|request[_-]?id|trace[_-]?id|session[_-]?id)\s*[:=]\s*([A-Za-z0-9._:-]+)"
@@ -34,7 +34,7 @@ LANGUAGES = {".py": "python", ".java": "java", ".sql": "sql", ".ps1": "powershel
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(text, F.lit(unicode_aware(pattern)), F.lit(group))
 
 
 def correlation_ids(text: Column) -> Column:
@@ -91,15 +91,15 @@ def stack_frames(text: Column) -> Column:
 
 
 def has_error(text: Column) -> Column:
-    return F.rlike(text, F.lit(ERROR_SIGNAL))
+    return F.rlike(text, F.lit(unicode_aware(ERROR_SIGNAL)))
 
 
 def has_zero_rows(text: Column) -> Column:
-    return F.rlike(text, F.lit(ZERO_ROWS))
+    return F.rlike(text, F.lit(unicode_aware(ZERO_ROWS)))
 
 
 def has_secret(text: Column) -> Column:
-    return F.rlike(text, F.lit(SECRET_SCAN))
+    return F.rlike(text, F.lit(unicode_aware(SECRET_SCAN)))
 
 
 def schema_objects(text: Column) -> Column:

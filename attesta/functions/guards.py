@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import strip
+from attesta.functions.text import strip, unicode_aware
 
 # Policy patterns and the suffix tables of the ingest contract.
 WRITE_KEYWORDS = (
@@ -49,8 +49,8 @@ def sql_rejection(sql: Column) -> Column:
     candidate = strip(sql)
     return (
         F.when(candidate.isNull() | (candidate == ""), F.lit("empty"))
-        .when(F.rlike(candidate, F.lit(SECOND_STATEMENT)), F.lit("multiple statements"))
-        .when(F.rlike(candidate, F.lit(WRITE_KEYWORDS)), F.lit("write-capable"))
+        .when(F.rlike(candidate, F.lit(unicode_aware(SECOND_STATEMENT))), F.lit("multiple statements"))
+        .when(F.rlike(candidate, F.lit(unicode_aware(WRITE_KEYWORDS))), F.lit("write-capable"))
         .when(~F.rlike(candidate, F.lit(READ_PREFIX)), F.lit("not read-only"))
     )
 

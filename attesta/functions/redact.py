@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attesta.functions.text import unicode_aware
+
 # What counts as sensitive, and the replacement.
 MARK = "[redacted]"
 CREDENTIAL = (
@@ -34,9 +36,9 @@ def redact_text(text: Column, secrets: Column | None = None) -> Column:
             lambda a, b: F.char_length(b) - F.char_length(a),
         )
         redacted = F.when(F.size(ordered) > 0, F.aggregate(ordered, text, lambda acc, s: F.replace(acc, s, F.lit(MARK)))).otherwise(text)
-    redacted = F.regexp_replace(redacted, CREDENTIAL, "$1$2" + r"\[redacted\]")
-    redacted = F.regexp_replace(redacted, BEARER, "Authorization$1" + r"\[redacted\]")
-    return F.regexp_replace(redacted, PRIVATE_ENDPOINT, r"\[redacted\]")
+    redacted = F.regexp_replace(redacted, unicode_aware(CREDENTIAL), "$1$2" + r"\[redacted\]")
+    redacted = F.regexp_replace(redacted, unicode_aware(BEARER), "Authorization$1" + r"\[redacted\]")
+    return F.regexp_replace(redacted, unicode_aware(PRIVATE_ENDPOINT), r"\[redacted\]")
 
 
 def is_sensitive_key(key: Column) -> Column:

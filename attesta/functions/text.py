@@ -21,6 +21,11 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
+def unicode_aware(pattern: str) -> str:
+    """Let ``\\w``, ``\\b``, ``\\s`` and ``\\d`` of a Java pattern cover all of Unicode."""
+    return "(?U)" + pattern
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode white space."""
     return F.regexp_replace(text, EDGE_SPACE, "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import extract, ids
-from attesta.functions.text import splitlines, strip
+from attesta.functions.text import splitlines, strip, unicode_aware
 from attesta.operators.ranking import first_per_key
 
 # Declaration and reference patterns, and the body window.
@@ -43,7 +43,7 @@ def declarations(sources: DataFrame) -> DataFrame:
     def matches(line: Column) -> Column:
         found = F.array().cast("array<struct<kind:string,name:string>>")
         for name, patterns in DECLARATIONS.items():
-            pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, p, 1).alias("name")) for kind, p in patterns])
+            pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, unicode_aware(p), 1).alias("name")) for kind, p in patterns])
             found = F.when(F.col("language") == name, F.filter(pairs, lambda m: m["name"] != "")).otherwise(found)
         return found
 
@@ -106,9 +106,9 @@ def relationships(sources: DataFrame, symbols_: DataFrame) -> DataFrame:
     Calls count only when their last name part is declared in the same file. ``resolved`` says
     whether the whole target is.
     """
-    found = lambda p: F.regexp_extract_all(F.col("body"), F.lit(p), F.lit(1))
+    found = lambda p: F.regexp_extract_all(F.col("body"), F.lit(unicode_aware(p)), F.lit(1))
     tagged = lambda names, relation: F.transform(names, lambda n: F.struct(n.alias("target"), F.lit(relation).alias("relation_type")))
-    flag = lambda p, target, relation: F.when(F.rlike("body", F.lit(p)), tagged(F.array(F.lit(target)), relation)).otherwise(tagged(F.array().cast("array<string>"), relation))
+    flag = lambda p, target, relation: F.when(F.rlike("body", F.lit(unicode_aware(p))), tagged(F.array(F.lit(target)), relation)).otherwise(tagged(F.array().cast("array<string>"), relation))
     refs = F.array_distinct(
         F.concat(
             tagged(found(IMPORTS), "imports"), tagged(found(CALLS), "calls"), tagged(found(ENDPOINTS), "endpoint"), tagged(found(CONFIGURATION), "configuration"),
@@ -139,20 +139,25 @@ def search_symbols(symbols_: DataFrame, query: str, limit: int | None) -> DataFr
     return found if limit is None else found.limit(max(1, limit))
 
 
-def rank_symbols(symbols_: DataFrame, query: str, limit: int) -> DataFrame:
-    """Symbol-aware ranking: chunks by their best symbol.
+def place_symbols(symbols_: DataFrame, query: str, limit: int) -> DataFrame:
+    """Found symbols with match strength and position, strongest first.
 
-    Symbols are ordered by (exact match + matched terms / terms, name, line), all descending;
-    a chunk scores 1 / position of its first symbol, counting every symbol.
+    Ordered by (exact match + matched terms / terms, name, line), all descending. The input is
+    cut to ``limit`` by the search, so one task numbers it.
     """
     import re
 
     terms = sorted({t.lower() for t in re.findall(r"[\w./:-]+", query)})
     names = [F.lower(c) for c in ("name", "qualified_name", "kind")]
-    anywhere = lambda t: F.greatest(*[F.contains(n, F.lit(t)).cast("int") for n in names])
-    matched = sum((anywhere(t) for t in terms), F.lit(0))
+    matched = F.lit(0)
+    for term in terms:
+        matched = matched + F.greatest(*[F.contains(n, F.lit(term)).cast("int") for n in names])
     exact = F.greatest(*[(n == query.lower()).cast("double") for n in names])
     scored = search_symbols(symbols_, query, limit).withColumn("match", exact + matched / F.lit(float(max(1, len(terms)))))
-    order = Window.orderBy(F.desc("match"), F.lower("name").desc(), F.desc("line_start"))
-    placed = scored.withColumn("position", F.row_number().over(order).cast("long"))
-    return placed.groupBy("chunk_id").agg((F.lit(1.0) / F.min("position")).alias("score"))
+    order = Window.orderBy(F.desc("match"), F.lower("name").desc(), F.desc("line_start"), "source_version_id")
+    return scored.withColumn("position", F.row_number().over(order).cast("long"))
+
+
+def rank_symbols(symbols_: DataFrame, query: str, limit: int) -> DataFrame:
+    """Symbol-aware ranking: a chunk scores 1 / position of its first symbol."""
+    return place_symbols(symbols_, query, limit).groupBy("chunk_id").agg((F.lit(1.0) / F.min("position")).alias("score"))
