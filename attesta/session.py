@@ -59,5 +59,6 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so several consumers share one computation of it."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_checkpoint_dir(spark))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_checkpoint_dir(spark))
     return df.checkpoint(eager=True)
