@@ -9,10 +9,9 @@ from attesta.catalog import sqlparts as S
 from attesta.functions import text as T
 from attesta.operators import code_index
 from attesta.plans import audit as A
-from attesta.session import cut_lineage
 from attesta.sources import corpus
 
-REQUEST = A.AuditRequest("error handled in src/part_7 catalog", scope="orders", symptoms=("0 rows", "supplier_9"))
+REQUEST = A.AuditRequest("error handled in src/part_8.py catalog", scope="orders", symptoms=("0 rows", "supplier_9"))
 _TERMS = T.query_terms(REQUEST.search_terms)
 _HITS = f"""{S.EVIDENCE}, hits AS (SELECT * FROM (SELECT *, {S.lexical('text', _TERMS)} AS lex, row_number() OVER (PARTITION BY source_type ORDER BY {S.lexical('text', _TERMS)} DESC, ordinal, chunk_id) AS rank
  FROM evidence WHERE acl_scope = 'internal') WHERE rank <= 24)"""
@@ -72,7 +71,7 @@ def _with_symbols(hits):
  SELECT 'fact' AS classification, 'Persistent code index resolves symbols ' || c || ', ' || c || '.' || f[1] || ', ' || c || '.' || f[2] || ' in ' || locator || '.' AS statement, 0.9::DOUBLE AS confidence, 'observed' AS verification_status, {_eref('code-symbol-index', 'observed')} AS refs FROM s""",
 )
 def audit_code_findings(spark, sf_dir):
-    return _flat(A.analyze_code(_with_symbols(cut_lineage(_hits(spark, sf_dir))), REQUEST))
+    return _flat(A.analyze_code(_with_symbols(A.materialized_hits(corpus.evidence(spark, sf_dir), REQUEST)), REQUEST))
 
 
 _SCHEMA_OBJ = r"""list_concat(regexp_extract_all(text, '(?i)\b(?:CREATE|ALTER|DROP|SELECT|INSERT|UPDATE|DELETE)\s+(?:TABLE|INDEX|VIEW|FUNCTION|PROC(?:EDURE)?)?\s*(?:IF\s+NOT\s+EXISTS\s+)?([A-Za-z0-9_.]+)', 1), regexp_extract_all(text, '\b([A-Za-z0-9_]+)\s*\(', 1))"""
@@ -106,9 +105,13 @@ def audit_document_findings(spark, sf_dir):
     return _flat(A.analyze_documents(_hits(spark, sf_dir), REQUEST))
 
 
-@query("audit_integration_findings")
+_EP = r"""regexp_extract_all(text, '\b(?:https?://[^\s"\']+|/[A-Za-z0-9_./-]+|\b[A-Za-z0-9_.-]+#[A-Za-z0-9_.-]+)\b')""".replace("\\'", "''")
+_INT_FINDINGS = f"""nf AS (SELECT 'fact' AS classification, 'Integration definitions expose endpoints or operations: ' || (SELECT string_agg(o, ', ' ORDER BY o) FROM (SELECT DISTINCT unnest({_EP}) AS o FROM hits WHERE source_type = 'integration')) || '.' AS statement, 0.82::DOUBLE AS confidence, 'observed' AS verification_status,
+   string_agg({_eref('integration-definition', 'observed')}, ',' ORDER BY {_eref('integration-definition', 'observed')}) AS refs FROM hits WHERE source_type = 'integration' HAVING count(*) > 0)"""
+
+
+@query("audit_integration_findings", f"WITH {_HITS}, {_INT_FINDINGS} SELECT * FROM nf")
 def audit_integration_findings(spark, sf_dir):
-    """Unicode word boundaries have no RE2 counterpart, so this one has no SQL form."""
     return _flat(A.analyze_integrations(_hits(spark, sf_dir), REQUEST))
 
 
@@ -121,7 +124,6 @@ def audit_timeline(spark, sf_dir):
     return points.select(F.col("timestamp").cast("timestamp_ntz").alias("ts"), "statement", "source_id", "source_type", "locator", "event_id")
 
 
-_NO_PAGES = "integration"
 _ALL = f"""{_HITS.replace("WHERE acl_scope = 'internal'", "WHERE acl_scope = 'internal' AND source_type <> 'integration'")}, {_LOG_FINDINGS}, {_CSV_FINDINGS}, {_SCHEMA_FINDINGS}, {_OUT_FINDINGS}, {_DOC_FINDINGS}, {_POINTS},
  base AS (SELECT * FROM lf UNION ALL SELECT * FROM cf UNION ALL SELECT * FROM sf UNION ALL SELECT * FROM qf UNION ALL SELECT * FROM df),
  frames AS (SELECT DISTINCT l.path || ':' || l.line AS raw, c.locator, c.chunk_id FROM (SELECT regexp_extract(text, 'File "([^"]+)", line', 1) AS path, regexp_extract(text, 'line (\\d+)', 1) AS line FROM hits WHERE source_type = 'log' AND contains(text, 'File "')) l
@@ -134,7 +136,7 @@ _ALL = f"""{_HITS.replace("WHERE acl_scope = 'internal'", "WHERE acl_scope = 'in
 def _checkpointed(spark, sf_dir):
     """The bounded hits feed every analyzer, so they are computed once."""
     scope = A.AuditRequest(REQUEST.query, scope=REQUEST.scope, symptoms=REQUEST.symptoms, source_types=("log", "splunk-csv", "code", "schema", "query-output", "document"))
-    return cut_lineage(A.audit_hits(corpus.evidence(spark, sf_dir), scope))
+    return A.materialized_hits(corpus.evidence(spark, sf_dir), scope)
 
 
 @query("audit_finding_counts", f"WITH {_ALL} SELECT classification, count(*) AS n FROM everything GROUP BY classification")
@@ -170,7 +172,7 @@ def audit_cross_source(spark, sf_dir):
     f"""WITH {_HITS}, {_POINTS} SELECT 'Timeline anchors are ' || string_agg(source_id || ':' || locator, ' -> ' ORDER BY ts, source_id, locator) AS chain FROM (SELECT * FROM points ORDER BY ts, source_id, locator LIMIT 4)""",
 )
 def audit_causal_chains(spark, sf_dir):
-    hits = cut_lineage(_hits(spark, sf_dir))
+    hits = A.materialized_hits(corpus.evidence(spark, sf_dir), REQUEST)
     return A.causal_chains(A.observations(hits, REQUEST), A.timeline(hits)).where("kind = 'timeline'").select("chain")
 
 
@@ -182,7 +184,7 @@ def audit_source_types(spark, sf_dir):
 @query("audit_report")
 def audit_report(spark, sf_dir):
     """Complete report row (JSON and Markdown) of one audit over the corpus."""
-    return A.report(cut_lineage(_hits(spark, sf_dir)), REQUEST).select("report_id", "executive_summary", F.size("finding_ids").cast("long").alias("findings"), F.size("timeline_event_ids").cast("long").alias("events"), F.length("human_report").cast("long").alias("report_chars"))
+    return A.report(A.materialized_hits(corpus.evidence(spark, sf_dir), REQUEST), REQUEST).select("report_id", "executive_summary", F.size("finding_ids").cast("long").alias("findings"), F.size("timeline_event_ids").cast("long").alias("events"), F.length("human_report").cast("long").alias("report_chars"))
 
 
 @query(

@@ -56,7 +56,7 @@ EXPORTS = _evidence("csv", "event_id", CSV_TEXT, "'exports/' || event_id || '.cs
 CODE = _evidence("code", "p_partkey", CODE_TEXT, "'repo/src/part_' || p_partkey || '.py'", "code", "part")
 SCHEMAS = _evidence("ddl", "s_suppkey", DDL_TEXT, "'db/supplier_' || s_suppkey || '.sql'", "schema", "supplier")
 OUTPUTS = _evidence("out", "o_orderkey", OUT_TEXT, "'out/order_' || o_orderkey || '.txt'", "query-output", "orders")
-INTEGRATIONS = _evidence("page", "page_id", "html", "url", "integration", "pages")
+INTEGRATIONS = _evidence("page", "page_id", f"url || {_NL} || html", "url", "integration", "pages")
 PROSE = _evidence("doc", "doc_id", f"'Controlled verification of ' || source || {_NL} || text", "'docs/' || source || '/' || doc_id || '.md'", "document", "documents")
 EVIDENCE = "evidence AS (" + " UNION ALL ".join([LOGS, EXPORTS, CODE, INTEGRATIONS, SCHEMAS, OUTPUTS, PROSE]) + ")"
 TURNS = "turns AS (SELECT 'turn-' || conv_id || '-' || turn AS chunk_id, 'conv-' || conv_id AS source_version_id, turn::BIGINT AS ordinal, text, role, conv_id FROM conversations)"

@@ -100,7 +100,7 @@ def symbols(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     ).drop("_ordinal", "_locator")
 
 
-def relationships(sources: DataFrame, symbols_: DataFrame) -> DataFrame:
+def relationships(symbols_: DataFrame) -> DataFrame:
     """References from each symbol's body window; ``symbols_`` still carries ``body``.
 
     Calls count only when their last name part is declared in the same file. ``resolved`` says

@@ -18,6 +18,7 @@ from attesta.functions import extract, ids
 from attesta.functions import text as T
 from attesta.operators import joins, ranking
 from attesta.operators.filters import RetrievalFilters, compile_filters
+from attesta.session import cut_lineage
 
 # Hits per source type, confidences, and statement wording.
 HITS_PER_TYPE = 24
@@ -92,6 +93,15 @@ def audit_hits(chunks: DataFrame, request: AuditRequest, per_type: int = HITS_PE
     return ranking.top_k_per(scored, ["source_type"], per_type)
 
 
+def materialized_hits(chunks: DataFrame, request: AuditRequest, per_type: int = HITS_PER_TYPE) -> DataFrame:
+    """Hits computed once for all analyzers.
+
+    At most ``per_type`` rows per source type remain, so they fit one partition, and the
+    analyzers aggregate them without further exchanges.
+    """
+    return cut_lineage(audit_hits(chunks, request, per_type)).coalesce(1)
+
+
 def source_types(chunks: DataFrame) -> DataFrame:
     return chunks.select("source_type").distinct()
 
@@ -316,9 +326,13 @@ def cross_source_findings(found: DataFrame, hits: DataFrame, request: AuditReque
 
 
 def findings(hits: DataFrame, request: AuditRequest, analyzers: Sequence[Analyzer] = tuple(ANALYZERS)) -> DataFrame:
-    """All findings of one audit."""
-    found = observations(hits, request, analyzers)
-    covered = found.unionByName(coverage_findings(found, timeline(hits), request))
+    """All findings of one audit.
+
+    The number of findings is bounded by the number of hits; they are materialised twice
+    because later findings look at all earlier ones.
+    """
+    found = cut_lineage(observations(hits, request, analyzers).coalesce(1))
+    covered = cut_lineage(found.unionByName(coverage_findings(found, timeline(hits), request)).coalesce(1))
     return covered.unionByName(cross_source_findings(covered, hits, request))
 
 
@@ -357,7 +371,7 @@ def report(hits: DataFrame, request: AuditRequest) -> DataFrame:
 
     ``hits`` is bounded by 24 per source type, so the report is small by construction.
     """
-    found, points = findings(hits, request), timeline(hits)
+    found, points = cut_lineage(findings(hits, request).coalesce(1)), timeline(hits)
     rows = F.array_sort(F.collect_list(F.struct(*FINDING_ORDER, "confidence", "verification_status", "finding_id", "provenance")))
     listed = found.agg(rows.alias("f"), executive_summary(found, request).alias("executive_summary"))
     moments = points.agg(F.array_sort(F.collect_list(F.struct(*TIMELINE_ORDER, "statement", "event_id"))).alias("t"))

@@ -104,3 +104,53 @@ def summarize(metrics: DataFrame) -> DataFrame:
         F.round(F.avg("returned_chunks"), 3).alias("mean_returned_chunks"),
         *extra,
     )
+
+
+def run(
+    chunks: DataFrame, embeddings: DataFrame, symbols: DataFrame, queries: DataFrame, space: str, k: int = DEFAULT_K, filters: RetrievalFilters = RetrievalFilters()
+) -> tuple[DataFrame, DataFrame]:
+    """All four modes over a store's tables: ranked chunks and per-query metrics.
+
+    ``queries`` has ``query_id, text, relevant_source_ids, modes``. Lexical, vector and hybrid
+    rank every query in one pass over the chunks; chunk and vector meet in one join on the
+    chunk id. Symbol-aware ranking runs per query over the (much smaller) symbol table.
+    """
+    from attesta.functions import text as T
+    from attesta.functions.vectors import hash_vector
+    from attesta.operators.code_index import rank_symbols
+
+    rows = ranking.bounded_rows(queries)
+    if rows is None:
+        raise ValueError(f"more than {ranking.MAX_BROADCAST_ROWS} benchmark queries: run them in parts")
+    dimension = int(space.split(":")[-2])
+    allowed = chunks.where(compile_filters(filters)).select("chunk_id", "source_id", "ordinal", "text")
+    vectors = embeddings.where(F.col("embedding_space_id") == space).select("chunk_id", "vector")
+    embedded = allowed.join(vectors, "chunk_id")
+    asked = lambda mode: [ranking.Query(r.query_id, r.text, hash_vector(r.text, dimension)) for r in rows if mode in r.modes]
+    parts = [
+        ranking.rank_many(allowed, asked("lexical"), k, text="text").withColumn("mode", F.lit("lexical")),
+        ranking.rank_many(embedded, asked("vector"), k, vector="vector").withColumn("mode", F.lit("vector")),
+        ranking.rank_many(embedded, asked("hybrid"), k, text="text", vector="vector").withColumn("mode", F.lit("hybrid")),
+    ]
+    for query in asked("symbol_aware"):
+        hits = rank_symbols(symbols.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), query.text, k).join(allowed, "chunk_id")
+        scored = hits.select(
+            F.lit(query.query_id).alias("query_id"), "chunk_id", "ordinal", T.lexical_score(F.col("text"), T.query_terms(query.text)).alias("lexical"),
+            F.lit(0.0).alias("semantic"), "score",
+        )
+        parts.append(ranking.top_k_per(scored, ["query_id"], k).withColumn("mode", F.lit("symbol_aware")))
+    ranked = parts[0]
+    for part in parts[1:]:
+        ranked = ranked.unionByName(part)
+    located = ranked.join(allowed.select("chunk_id", "source_id", T.word_token_count(F.col("text")).alias("tokens")), "chunk_id")
+    relevant = queries.select("query_id", F.explode("relevant_source_ids").alias("source_id"))
+    metrics = None
+    for mode in MODES:
+        hits = located.where(F.col("mode") == mode)
+        judged = query_metrics(hits.select("query_id", "chunk_id", "source_id", "rank"), relevant, k)
+        from attesta.plans.retrieval import context_per
+
+        context = context_per(hits, ["query_id"]).select("query_id", F.col("context.tokens").alias("context_tokens"))
+        part = judged.join(context, "query_id").withColumn("mode", F.lit(mode))
+        metrics = part if metrics is None else metrics.unionByName(part)
+    return located, metrics

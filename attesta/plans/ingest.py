@@ -62,7 +62,7 @@ def chunk_rows(prepared: DataFrame, blocks: Column | None = None) -> DataFrame:
     ``locator`` and ``page`` win over the computed ones.
     """
     own = blocks is not None
-    packed = blocks if own else B.chunk_blocks(F.col("content"))
+    packed = blocks if own else B.chunk_blocks(F.col("content").cast("string"))
     carried = ["source_id", "source_version_id", "artifact_hash", *SCOPE, "source_type", "source_uri", "parser_version", "secrets", "metadata"]
     if "ingest_ts" in prepared.columns:
         carried.append("ingest_ts")
@@ -76,7 +76,10 @@ def chunk_rows(prepared: DataFrame, blocks: Column | None = None) -> DataFrame:
         *[c for c in carried if c != "secrets"],
         F.col("b.ordinal").cast("long").alias("ordinal"), text.alias("text"), locator.alias("locator"),
         (F.col("b.page") if own else F.lit(None).cast("int")).alias("page"), F.col("b.line_start").alias("line_start"), F.col("b.line_end").alias("line_end"),
+        *([redact.redact_metadata(F.coalesce(F.col("b.metadata"), F.create_map().cast("map<string,string>"))).alias("_block")] if own else []),
     )
+    if own:
+        shaped = shaped.withColumn("metadata", F.map_concat("metadata", "_block")).drop("_block")
     version, ordinal = F.col("source_version_id"), F.col("ordinal")
     return shaped.withColumns({"chunk_id": ids.chunk_id(version, ordinal), "chunk_hash": ids.chunk_hash(version, ordinal, F.col("text"))})
 
@@ -108,7 +111,8 @@ def ingest(store: EvidenceStore, raw: DataFrame, batch: str, space: str = "hash-
     known = seen.groupBy("source_id", "content_hash").agg(F.min("seq").alias("version_number"))
     versions = prepared.join(numbers.unionByName(known), ["source_id", "content_hash"]).withColumn("object_key", F.col("content_hash"))
     chunks = cut_lineage(chunk_rows(prepared, None if blocks is None else F.col("_parsed")))
-    symbols = code_index.symbols(prepared.select("source_id", "source_version_id", "source_uri", "content", *SCOPE), chunks)
+    source_text = prepared.withColumn("content", F.col("content").cast("string"))
+    symbols = code_index.symbols(source_text.select("source_id", "source_version_id", "source_uri", "content", *SCOPE), chunks)
     bundle = {
         "sources": prepared.withColumns({"created_at": F.col("ingest_ts"), "updated_at": F.col("ingest_ts")}),
         "source_versions": versions,
@@ -116,7 +120,7 @@ def ingest(store: EvidenceStore, raw: DataFrame, batch: str, space: str = "hash-
         "chunks": chunks,
         "embeddings": embedding_rows(chunks, space),
         "code_symbols": symbols,
-        "code_relationships": code_index.relationships(prepared.select("source_version_id", "content"), symbols),
+        "code_relationships": code_index.relationships(symbols),
         "objects": prepared.select("content_hash", F.col("content").cast("binary").alias("content"), "size_bytes", "mime_type", F.lit(0).cast("long").alias("seq")),
         "namespaces": namespaces.registry(prepared),
     }

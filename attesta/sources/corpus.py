@@ -132,9 +132,9 @@ def query_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def integrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw pages as integration definitions."""
+    """Raw pages, headed by their address, as integration definitions."""
     pages = table(spark, sf_dir, "pages")
-    return _evidence(pages, "page", F.col("page_id"), F.col("html"), F.col("url"), "integration")
+    return _evidence(pages, "page", F.col("page_id"), text_of(F.col("url"), "\n", F.col("html")), F.col("url"), "integration")
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
