@@ -17,7 +17,7 @@ LEXICAL_TOKEN = r"[\p{L}\p{N}_]+(?:[./:-][\p{L}\p{N}_]+)*"
 LEXICAL_COMPONENT = r"[._/:+\-\n]+"
 EMBEDDING_TOKEN = r"[A-Za-z0-9_./:-]+"
 WORD_TOKEN = r"[\p{L}\p{N}_./:-]+"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 

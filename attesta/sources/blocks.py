@@ -7,7 +7,6 @@ alone and the result is exploded in the JVM.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -27,7 +26,6 @@ BLOCK_TYPE = "array<struct<ordinal:int,text:string,line_start:int,line_end:int>>
 _ARROW_BLOCK = pa.list_(
     pa.struct([("ordinal", pa.int32()), ("text", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())])
 )
-_TRAILING_BREAK = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])\Z")
 
 
 def block_spans(lines: list[str], limit: int, *, newline: int, overshoot: bool, overlap: int = 0) -> Iterator[tuple[int, int]]:
