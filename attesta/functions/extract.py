@@ -48,7 +48,9 @@ def typed_ids(text: Column, kind: str, extra: Column | None = None) -> Column:
     The kind is read off the whole mention, value included: "correlation" wins over
     "session", and everything else is a request id.
     """
-    mentions = F.arrays_zip(F.transform(_all(text, TYPED_ID, 0), F.lower).alias("m"), _all(text, TYPED_ID, 1).alias("v"))
+    # One pass over the text; the value is read off each (short) mention.
+    value = unicode_aware(TYPED_ID)
+    mentions = F.transform(_all(text, TYPED_ID, 0), lambda m: F.struct(F.lower(m).alias("m"), F.regexp_extract(m, value, 1).alias("v")))
 
     def of_kind(x: Column) -> Column:
         correlation, session = F.contains(x["m"], F.lit("correlation")), F.contains(x["m"], F.lit("session"))
@@ -75,19 +77,16 @@ def event_time(text: Column, ingest_time: Column) -> Column:
 
 def stack_frames(text: Column) -> Column:
     """ARRAY<STRUCT<raw, path, line>> for interpreter tracebacks and ``path.ext:line`` forms."""
-    zipped = F.arrays_zip(
-        _all(text, STACK_FRAME, 1).alias("f"),
-        _all(text, STACK_FRAME, 2).alias("fl"),
-        _all(text, STACK_FRAME, 3).alias("p"),
-        _all(text, STACK_FRAME, 4).alias("pl"),
-    )
+    pattern = unicode_aware(STACK_FRAME)
 
-    def shape(z: Column) -> Column:
-        path = F.when(z["f"] != "", z["f"]).otherwise(z["p"])
-        line = F.when(z["f"] != "", z["fl"]).otherwise(z["pl"])
+    def shape(match: Column) -> Column:
+        group = lambda n: F.regexp_extract(match, pattern, n)
+        quoted = group(1) != ""
+        path = F.when(quoted, group(1)).otherwise(group(3))
+        line = F.when(quoted, group(2)).otherwise(group(4))
         return F.struct(F.concat(path, F.lit(":"), line).alias("raw"), path.alias("path"), line.alias("line"))
 
-    return F.transform(zipped, shape)
+    return F.transform(_all(text, STACK_FRAME, 0), shape)
 
 
 def has_error(text: Column) -> Column:

@@ -33,9 +33,10 @@ LINE_BUCKET = 64
 
 
 def declarations(sources: DataFrame) -> DataFrame:
-    """One row per declaration with its line, signature and the text that follows it.
+    """One row per declaration with its line, signature and the references around it.
 
-    Only the window after each declaration leaves the row, not the whole file per symbol.
+    References are read from the window after the declaration while the file is still one
+    row, so neither the file nor the window is copied per symbol.
     """
     language = extract.language(F.col("source_uri"))
     lines = splitlines(F.col("content"))
@@ -50,13 +51,13 @@ def declarations(sources: DataFrame) -> DataFrame:
     per_line = F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line_number"), line.alias("line"), matches(line).alias("found")))
     declared = F.filter(per_line, lambda x: F.size(x["found"]) > 0)
     with_body = F.transform(
-        declared, lambda x: F.struct(x["line_number"], x["line"], x["found"], F.array_join(F.slice(F.col("_lines"), x["line_number"], F.lit(BODY_LINES)), "\n").alias("body"))
+        declared, lambda x: F.struct(x["line_number"], x["line"], x["found"], references(F.array_join(F.slice(F.col("_lines"), x["line_number"], F.lit(BODY_LINES)), "\n")).alias("refs"))
     )
     carried = [c for c in sources.columns if c != "content"]
     indexed = sources.withColumns({"language": language, "_lines": lines}).where(F.col("language").isNotNull())
     exploded = indexed.select(*carried, "language", F.explode(with_body).alias("d"))
     return exploded.select(
-        *carried, "language", F.col("d.line_number").alias("line_start"), strip(F.col("d.line")).alias("signature"), F.col("d.body").alias("body"), F.inline("d.found")
+        *carried, "language", F.col("d.line_number").alias("line_start"), strip(F.col("d.line")).alias("signature"), F.col("d.refs").alias("refs"), F.inline("d.found")
     )
 
 
@@ -100,23 +101,27 @@ def symbols(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     ).drop("_ordinal", "_locator")
 
 
-def relationships(symbols_: DataFrame) -> DataFrame:
-    """References from each symbol's body window; ``symbols_`` still carries ``body``.
-
-    Calls count only when their last name part is declared in the same file. ``resolved`` says
-    whether the whole target is.
-    """
-    found = lambda p: F.regexp_extract_all(F.col("body"), F.lit(unicode_aware(p)), F.lit(1))
+def references(body: Column) -> Column:
+    """ARRAY<STRUCT<target, relation_type>> of the references in a body window, distinct."""
+    found = lambda p: F.regexp_extract_all(body, F.lit(unicode_aware(p)), F.lit(1))
     tagged = lambda names, relation: F.transform(names, lambda n: F.struct(n.alias("target"), F.lit(relation).alias("relation_type")))
-    flag = lambda p, target, relation: F.when(F.rlike("body", F.lit(unicode_aware(p))), tagged(F.array(F.lit(target)), relation)).otherwise(tagged(F.array().cast("array<string>"), relation))
-    refs = F.array_distinct(
+    flag = lambda p, target: F.when(F.rlike(body, F.lit(unicode_aware(p))), F.array(F.lit(target))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(
         F.concat(
             tagged(found(IMPORTS), "imports"), tagged(found(CALLS), "calls"), tagged(found(ENDPOINTS), "endpoint"), tagged(found(CONFIGURATION), "configuration"),
-            flag(LOGGING, "logging", "logging"), flag(EXCEPTIONS, "exception-handling", "exception_handling"),
+            tagged(flag(LOGGING, "logging"), "logging"), tagged(flag(EXCEPTIONS, "exception-handling"), "exception_handling"),
         )
     )
-    carried = [c for c in symbols_.columns if c not in ("body", "name", "qualified_name", "kind", "signature", "line_start", "line_end")]
-    rows = symbols_.select(*carried, F.inline(refs))
+
+
+def relationships(symbols_: DataFrame) -> DataFrame:
+    """References of each symbol; ``symbols_`` still carries ``refs``.
+
+    Calls count only when their last name part is declared in the same file. ``resolved`` says
+    whether the whole target is.
+    """
+    carried = [c for c in symbols_.columns if c not in ("refs", "name", "qualified_name", "kind", "signature", "line_start", "line_end")]
+    rows = symbols_.select(*carried, F.inline("refs"))
     names = symbols_.select("source_version_id", F.explode(F.array("name", "qualified_name")).alias("_known")).distinct()
     last = F.element_at(F.split("target", r"\."), -1)
     calls = rows.where(F.col("relation_type") == "calls").withColumn("_known", last).join(names, ["source_version_id", "_known"], "left_semi").select(*rows.columns)

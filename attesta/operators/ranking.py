@@ -28,7 +28,6 @@ CONTEXT_TOKENS = 256
 
 # Sizes above which the small side is no longer shipped to every task.
 MAX_BROADCAST_ROWS = 100_000
-MAX_QUERY_TERMS = 20_000
 QUERY_SLICE = 1_000
 
 
@@ -182,16 +181,19 @@ class _QuerySet:
             self.vectors = matrix / norms(matrix)[:, None]
 
     def lexical(self, terms: pa.ListArray) -> np.ndarray:
-        total = len(terms)
+        """(row, query) share of query terms; repeated terms of a row count once."""
+        total, width = len(terms), len(self.ids)
         slots = pc.index_in(terms.flatten(), value_set=pa.array(self.vocabulary, pa.string()))
         rows = np.repeat(np.arange(total), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         known = slots.is_valid().to_numpy(zero_copy_only=False)
-        slot, row = slots.fill_null(0).to_numpy(zero_copy_only=False)[known], rows[known]
+        slot = slots.fill_null(0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+        pairs = np.unique(rows[known] * max(1, len(self.vocabulary)) + slot)
+        row, slot = np.divmod(pairs, max(1, len(self.vocabulary)))
         fan = self.counts[slot]
         first = np.cumsum(fan) - fan
         owner = self.owners[np.arange(fan.sum()) - np.repeat(first, fan) + np.repeat(self.starts[slot], fan)]
-        shared = np.bincount(np.repeat(row, fan) * len(self.ids) + owner, minlength=total * len(self.ids))
-        return shared.reshape(total, len(self.ids)) / self.sizes
+        shared = np.bincount(np.repeat(row, fan) * width + owner, minlength=total * width)
+        return shared.reshape(total, width) / self.sizes
 
     def semantic(self, vectors: pa.ListArray) -> np.ndarray:
         out = np.zeros((len(vectors), len(self.ids)))
@@ -200,12 +202,32 @@ class _QuerySet:
         return out
 
 
-def _best(score: np.ndarray, ordinal: np.ndarray, chunk: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the best k by (-score, ordinal, chunk)."""
-    rows = np.arange(len(score))
-    if len(score) > k:
-        rows = np.nonzero(score >= np.partition(score, len(score) - k)[len(score) - k])[0]
-    return rows[np.lexsort((chunk[rows], ordinal[rows], -score[rows]))[:k]]
+Kept = list[tuple[float, int, str, float, float]]
+
+
+class _BestPerQuery:
+    """Running top-k of every query by (-score, ordinal, chunk)."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.kept: list[Kept] = [[] for _ in range(queries)]
+
+    def add(self, chunk: np.ndarray, ordinal: np.ndarray, lexical: np.ndarray, semantic: np.ndarray, score: np.ndarray) -> None:
+        rows, k = len(chunk), self.k
+        # Ids are compared once per batch; afterwards the tie-break is an integer.
+        tie = np.empty(rows, dtype=np.int64)
+        tie[np.lexsort((chunk, ordinal))] = np.arange(rows)
+        floor = np.partition(score, rows - k, axis=0)[rows - k] if rows > k else np.full(score.shape[1], -np.inf)
+        top = score.max(axis=0)
+        for q, best in enumerate(self.kept):
+            if len(best) == k and top[q] < -best[-1][0]:
+                continue
+            column = score[:, q]
+            at = np.nonzero(column >= floor[q])[0]
+            at = at[np.lexsort((tie[at], -column[at]))[:k]]
+            best += [(-column[i], int(ordinal[i]), str(chunk[i]), lexical[i, q], semantic[i, q]) for i in at]
+            best.sort(key=lambda entry: entry[:3])
+            del best[k:]
 
 
 def rank_many(
@@ -222,8 +244,7 @@ def rank_many(
     ``corpus`` has ``chunk_id, ordinal`` and the named text and/or vector column. The query set
     is bounded (slices of ``QUERY_SLICE``; see :func:`rank_many_by_term` for unbounded sets) and
     travels with the task closure. Each task scores its own rows and keeps k per query, so the
-    shuffle carries at most k rows per query and task, never (query, chunk) pairs. Only terms
-    that occur in some query cross into Python.
+    shuffle carries at most k rows per query and task, never (query, chunk) pairs.
     """
     queries = list(queries)
     if not queries:
@@ -238,42 +259,25 @@ def rank_many(
 
 def _rank_slice(corpus: DataFrame, queries: list[Query], k: int, text: str | None, vector: str | None, ws: float, wl: float) -> DataFrame:
     asked = _QuerySet(queries, text is not None, vector is not None)
-    if len(asked.vocabulary) > MAX_QUERY_TERMS and len(queries) > 1:
-        half = len(queries) // 2
-        return _rank_slice(corpus, queries[:half], k, text, vector, ws, wl).unionByName(_rank_slice(corpus, queries[half:], k, text, vector, ws, wl))
     columns = [F.col("chunk_id"), F.col("ordinal").cast("long").alias("ordinal")]
     if text is not None:
-        known = F.filter(T._term_list(F.col(text)), lambda t: t.isin(asked.vocabulary))
-        columns.append(F.array_distinct(known).alias("terms"))
+        columns.append(T._term_list(F.col(text)).alias("terms"))
     if vector is not None:
         columns.append(F.col(vector).alias("vector"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...] | None] = [None] * len(asked.ids)
+        best = _BestPerQuery(len(asked.ids), k)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            chunk = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
-            ordinal = batch.column("ordinal").to_numpy(zero_copy_only=False)
             zeros = np.zeros((batch.num_rows, len(asked.ids)))
             lexical = asked.lexical(batch.column("terms")) if text is not None else zeros
             semantic = asked.semantic(batch.column("vector")) if vector is not None else zeros
-            score = ws * semantic + wl * lexical
-            for q in range(len(asked.ids)):
-                rows = _best(score[:, q], ordinal, chunk, k)
-                new = (score[rows, q], ordinal[rows], chunk[rows], lexical[rows, q], semantic[rows, q])
-                if kept[q] is not None:
-                    new = tuple(np.concatenate(pair) for pair in zip(kept[q], new))
-                    rows = _best(new[0], new[1], new[2], k)
-                    new = tuple(column[rows] for column in new)
-                kept[q] = new
-        for q, best in enumerate(kept):
-            if best is not None:
-                score_q, ordinal_q, chunk_q, lexical_q, semantic_q = best
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([asked.ids[q]] * len(score_q)), pa.array(list(chunk_q), pa.string()), pa.array(ordinal_q, pa.int64()), pa.array(lexical_q), pa.array(semantic_q), pa.array(score_q)],
-                    schema=_RANK_ARROW,
-                )
+            ordinal = batch.column("ordinal").to_numpy(zero_copy_only=False)
+            best.add(np.array(batch.column("chunk_id").to_pylist()), ordinal, lexical, semantic, ws * semantic + wl * lexical)
+        rows = [(asked.ids[q], c, o, lex, sem, -s) for q, kept in enumerate(best.kept) for s, o, c, lex, sem in kept]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*rows), _RANK_ARROW)], schema=_RANK_ARROW)
 
     return corpus.select(*columns).mapInArrow(rank, RANK_SCHEMA)
 

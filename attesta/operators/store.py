@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from attesta.operators.filters import RetrievalFilters, admin_visible, source_status
 from attesta.operators.ranking import first_per_key, latest_per_key, numbered_within
 from attesta.schemas import KEYS, PARTITIONS, TABLES, table_schema
+from attesta.session import prepare
 
 
 def put_objects(existing: DataFrame, incoming: DataFrame, key: str = "content_hash", order: str = "seq") -> DataFrame:
@@ -104,6 +105,9 @@ class EvidenceStore:
     spark: SparkSession
     root: str
 
+    def __post_init__(self) -> None:
+        prepare(self.spark)
+
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ REQUIRED_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
 # Settings that only shape the physical plan.
 TUNING_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -37,9 +40,43 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the correctness settings to a session somebody else created."""
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="attesta-"), "attesta.zip")
+    with zipfile.ZipFile(archive, "w") as package:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    package.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for a table too small to be split that far.
+
+    A file with few row groups is read by few tasks however many cores wait. When the scan is
+    estimated below one default split per core, its rows are dealt out once: that moves at
+    most ``cores * maxPartitionBytes``. Larger tables have enough splits and pass unchanged.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) < cores * SPLIT_BYTES else df
+
+
 def shared_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the cluster's ``spark.checkpoint.dir``.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.session import prepare
+from attesta.session import prepare, spread
 
 # Scope derivation.
 DOMAINS = ["criminal", "contraordenacional", "contencioso_administrativo", "contencioso_judicial", "encargos_sigef"]
@@ -17,8 +17,13 @@ SOURCE_TYPES = ["document", "log", "code", "schema", "query-output"]
 EPOCH = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 
 
+# Tables whose rows are parsed, tokenised or hashed: work per row outweighs moving the row.
+TEXT_TABLES = {"documents", "pages", "conversations", "events", "part", "orders"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def text_of(*parts: Column | str) -> Column:

@@ -89,7 +89,6 @@ def test_query_slices_give_the_same_result(spark, monkeypatch):
     queries = [ranking.Query(f"q{i}", t, ()) for i, t in enumerate(["alpha", "beta of", "delta", "gamma_x the"])]
     whole = got_lists(ranking.rank_many(df, queries, 4, text="text"))
     monkeypatch.setattr(ranking, "QUERY_SLICE", 3)
-    monkeypatch.setattr(ranking, "MAX_QUERY_TERMS", 2)
     assert got_lists(ranking.rank_many(df, queries, 4, text="text")) == whole
 
 
