@@ -54,7 +54,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="attesta-"), "attesta.zip")
-    with zipfile.ZipFile(archive, "w") as package:
+    with zipfile.PyZipFile(archive, "w") as package:
+        package.writepy(root)  # byte code, so that workers do not compile; sources as fallback
         for folder, _, names in os.walk(root):
             for name in names:
                 if name.endswith(".py"):
