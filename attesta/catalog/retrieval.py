@@ -140,7 +140,7 @@ def neighbor_expansion(spark, sf_dir):
     turns = corpus.turns(spark, sf_dir)
     score = T.lexical_score(F.col("text"), T.query_terms(_TURN_Q))
     hits = P.ranked(ranking.top_k(turns.withColumn("score", score), 8))
-    grown = ranking.expand_neighbors(hits, turns, 2, score)
+    grown = ranking.expand_neighbors(hits, turns, 2, score, bound=8)
     return grown.select("chunk_id", "source_version_id", "ordinal", F.round("score", 8).alias("score"), F.array_join("neighboring_chunk_ids", ",").alias("via"))
 
 

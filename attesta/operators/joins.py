@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.operators.ranking import broadcast_if_small
+
 
 def normalized_path(path: Column) -> Column:
     """Forward slashes only, cut at the first line or fragment marker."""
@@ -36,8 +38,8 @@ def frames_to_code(frames: DataFrame, code: DataFrame) -> DataFrame:
 def alias_lookup(values: DataFrame, aliases: DataFrame, column: str = "value") -> DataFrame:
     """Resolve names to domains case-insensitively, with ``_`` and ``-`` interchangeable.
 
-    ``aliases`` (``alias, domain_id``) is a configuration table, broadcast as such.
+    ``aliases`` (``alias, domain_id``) is broadcast when it proves small.
     """
     fold = lambda c: F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit("-"))
     table = aliases.select(fold(F.col("alias")).alias("_key"), "domain_id").groupBy("_key").agg(F.min("domain_id").alias("domain_id"))
-    return values.withColumn("_key", fold(F.col(column))).join(F.broadcast(table), "_key", "left").drop("_key")
+    return values.withColumn("_key", fold(F.col(column))).join(broadcast_if_small(table), "_key", "left").drop("_key")

@@ -79,11 +79,12 @@ def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
     return local.join(shifts, parts).withColumn(number, F.col("_shift") + F.col("_local")).drop("_bucket", "_local", "_shift")
 
 
-def expand_neighbors(hits: DataFrame, chunks: DataFrame, window: int, score: Column) -> DataFrame:
+def expand_neighbors(hits: DataFrame, chunks: DataFrame, window: int, score: Column, bound: int) -> DataFrame:
     """Hits plus the chunks up to ``window`` positions away in the same source version.
 
-    ``hits`` is a ranked top-k with ``rank, chunk_id, source_version_id, ordinal, score``; its
-    size is bounded by k, so at most ``2 * window * k`` probe keys are broadcast. Ordinals are
+    ``hits`` is a ranked top-k with ``rank, chunk_id, source_version_id, ordinal, score`` and at
+    most ``bound`` rows, which bounds the probe keys by ``2 * window * bound``; they are
+    broadcast only while that stays small. Ordinals are
     dense within a version, hence a position offset is an ordinal offset and the lookup is an
     equi-join. Neighbour scores (``score`` over chunk columns) are computed after that join,
     discounted, and never below zero. A neighbour belongs to the best hit that reaches it.
@@ -97,9 +98,8 @@ def expand_neighbors(hits: DataFrame, chunks: DataFrame, window: int, score: Col
     probes = base.select(
         F.col("rank").alias("_rank"), F.col("chunk_id").alias("_hit"), "source_version_id", F.col("ordinal").alias("_at"), offsets.alias("_offset")
     ).select("_rank", "_hit", "source_version_id", (F.col("_at") + F.col("_offset")).alias("ordinal"), F.abs("_offset").alias("_distance"))
-    found = chunks.join(F.broadcast(probes), ["source_version_id", "ordinal"]).join(
-        F.broadcast(base.select("chunk_id")), "chunk_id", "left_anti"
-    )
+    small = F.broadcast if 2 * window * bound <= MAX_BROADCAST_ROWS else lambda df: df
+    found = chunks.join(small(probes), ["source_version_id", "ordinal"]).join(small(base.select("chunk_id")), "chunk_id", "left_anti")
     scored = found.select(*columns[:3], score.alias("score"), "_rank", "_hit", "_distance")
     owned = first_per_key(scored, ["chunk_id"], ["_rank", "_distance"])
     neighbors = owned.select(
@@ -147,6 +147,11 @@ class Query:
     vector: Sequence[float] = ()
 
 
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after counting: a larger table is left to the optimizer."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def bounded_rows(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> list | None:
     """Rows of a small table, or None when it has more than ``limit`` rows."""
     rows = df.limit(limit + 1).collect()
@@ -285,9 +290,10 @@ def _rank_slice(corpus: DataFrame, queries: list[Query], k: int, text: str | Non
 def rank_many_by_term(corpus: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
     """Lexical top-k for a query table of any size (``query_id, text``).
 
-    Postings of both sides meet on the term; every chunk's postings sit in one task, so the
-    partial count collapses them before the shuffle. Chunks that share no term with a query
-    are not produced: callers that need zero-score filler use :func:`rank_many`.
+    Postings of both sides meet on the term (adaptive execution splits frequent terms), the
+    shared terms are counted per query and chunk, and each task keeps k chunks per query.
+    Chunks that share no term with a query are not produced: callers that need zero-score
+    filler use :func:`rank_many`.
     """
     asked = queries.select("query_id", T.lexical_terms(F.col("text")).alias("terms"))
     wanted = asked.select("query_id", F.size("terms").alias("size"), F.explode("terms").alias("term"))

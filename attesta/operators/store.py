@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators.filters import RetrievalFilters, admin_visible, source_status
 from attesta.operators.ranking import first_per_key, latest_per_key, numbered_within
-from attesta.schemas import KEYS, PARTITIONS, TABLES, table_schema
+from attesta.schemas import IMMUTABLE, KEYS, LOOKUP_COLUMNS, PARTITIONS, TABLES, table_schema
 from attesta.session import prepare
 
 
@@ -123,8 +123,13 @@ class EvidenceStore:
         return stored
 
     def current(self, name: str) -> DataFrame:
-        """Latest row per primary key; source creation times survive later upserts."""
+        """Latest row per primary key; source creation times survive later upserts.
+
+        Content-addressed tables are returned as stored: their keys never repeat.
+        """
         rows = self.read(name)
+        if name in IMMUTABLE:
+            return rows
         if name != "sources":
             return latest_per_key(rows, KEYS[name], ["_seq"])
         rest = [c for c in rows.columns if c not in KEYS[name]]
@@ -142,6 +147,8 @@ class EvidenceStore:
             ]
         )
         writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        for column in LOOKUP_COLUMNS.get(name, []):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.partitionBy("batch", *PARTITIONS.get(name, [])).parquet(self._path(name))
 
     def save_bundle(self, bundle: dict[str, DataFrame], batch: str) -> DataFrame:
@@ -195,9 +202,16 @@ class EvidenceStore:
         for name in TABLES:
             copy.append(name, self.read(name).drop("batch"), "snapshot")
 
-    def compact(self, name: str, target: str, files_per_partition: int = 1) -> None:
-        """Rewrite the latest-wins view of one table below another root."""
-        EvidenceStore(self.spark, target).append(name, self.current(name).drop("batch").coalesce(files_per_partition), "compacted")
+    def compact(self, name: str, target: str, file_bytes: int = 256 * 1024 * 1024) -> None:
+        """Rewrite the current rows of one table below another root in files of about one size.
+
+        Rows are range-partitioned by partition column and key, so a large partition value
+        spans many tasks and the key statistics of the files become selective.
+        """
+        rows = self.current(name).drop("batch")
+        size = int(self.read(name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        placed = rows.repartitionByRange(max(1, size // file_bytes), *PARTITIONS.get(name, []), *KEYS[name])
+        EvidenceStore(self.spark, target).append(name, placed, "compacted")
 
 
 def with_legacy_defaults(sources: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from attesta.functions import text as T
 from attesta.functions import vectors as V
 from attesta.operators import ranking
 from attesta.operators.filters import RetrievalFilters, compile_filters
+from attesta.session import cut_lineage
 
 
 class EmbeddingSpaceMismatch(ValueError):
@@ -58,6 +59,21 @@ def context_per(hits: DataFrame, keys: Sequence[str], max_chunks: int = ranking.
     return hits.groupBy(*keys).agg(ordered.alias("ranked")).select(*keys, ranking.compact_context(F.col("ranked"), max_chunks, max_tokens).alias("context"))
 
 
+# Top-k results up to this size are looked up by literal keys, larger ones by join.
+LITERAL_LOOKUP = 500
+
+
+def _rows_of(table: DataFrame, keys: DataFrame, column: str, bound: int) -> DataFrame:
+    """Rows of a large table for a few keys.
+
+    A bounded key list becomes an IN predicate, which the scan checks against Parquet
+    statistics and bloom filters and so skips most row groups; beyond that it is a semi-join.
+    """
+    if bound > LITERAL_LOOKUP:
+        return table.join(keys.select(column).distinct(), column, "left_semi")
+    return table.where(F.col(column).isin([r[0] for r in keys.select(column).distinct().collect()]))
+
+
 def search(
     chunks: DataFrame,
     embeddings: DataFrame,
@@ -71,9 +87,9 @@ def search(
 ) -> DataFrame:
     """Ranked evidence hits with text and scope.
 
-    The top-k is found on narrow rows and only then joined back to the chunk table; that
-    lookup broadcasts at most ``limit * (2 * neighbor_window + 1)`` keys. ``neighbors`` is
-    ``"expanded"`` to add the surrounding chunks, or ``"none"``.
+    The top-k is found on narrow rows, materialised (it has at most ``limit`` rows) and only
+    then looked up in the chunk table. ``neighbors`` is ``"expanded"`` to add the surrounding
+    chunks, or ``"none"``.
     """
     f = replace(filters.normalized(), embedding_space_id=filters.embedding_space_id or active_space)
     vector = query_vector if query_vector is not None else V.hash_vector(query, int(f.embedding_space_id.split(":")[1]))
@@ -83,26 +99,29 @@ def search(
         stray = space_mismatches(allowed.select("chunk_id"), embeddings, f.embedding_space_id).limit(3).collect()
         if stray:
             raise EmbeddingSpaceMismatch(f"space {f.embedding_space_id} has no vectors for {[r.chunk_id for r in stray]}")
-    scores = hybrid_scores(chunks, in_space, query, vector, f)
-    top = ranking.top_k(scores, f.limit)
-    located = allowed.join(F.broadcast(top.drop("ordinal")), "chunk_id")
+    top = cut_lineage(ranking.top_k(hybrid_scores(chunks, in_space, query, vector, f), f.limit))
+    located = _rows_of(allowed, top, "chunk_id", f.limit).join(top.drop("ordinal"), "chunk_id")
     if neighbors == "none" or f.neighbor_window == 0:
         return located.withColumn("neighboring_chunk_ids", F.array().cast("array<string>"))
-    hits = ranked(located)
-    score = ranking.hybrid_score(F.coalesce(F.col("_semantic"), F.lit(0.0)), T.lexical_score(F.col("text"), T.query_terms(query)))
-    wanted = _neighbor_vectors(hits, allowed, in_space, vector, f.neighbor_window)
-    grown = ranking.expand_neighbors(hits, wanted, f.neighbor_window, score)
-    detail = top.select("chunk_id", "lexical_score", "semantic_score")
-    return allowed.join(F.broadcast(grown.drop("source_version_id", "ordinal")), "chunk_id").join(F.broadcast(detail), "chunk_id", "left")
+    hits = cut_lineage(ranked(located))
+    # Chunks of the hit versions are the only possible neighbours.
+    around = _rows_of(allowed, hits, "source_version_id", f.limit)
+    near = _near(hits, around, f.neighbor_window)
+    vectors = _rows_of(in_space, near, "chunk_id", f.limit * (2 * f.neighbor_window + 1))
+    scored = near.join(vectors.select("chunk_id", V.cosine_to(F.col("vector"), vector).alias("semantic_score")), "chunk_id", "left")
+    detailed = scored.withColumns(
+        {"semantic_score": F.coalesce("semantic_score", F.lit(0.0)), "lexical_score": T.lexical_score(F.col("text"), T.query_terms(query))}
+    )
+    own = ranking.hybrid_score(F.col("semantic_score"), F.col("lexical_score"))
+    grown = ranking.expand_neighbors(hits, detailed, f.neighbor_window, own, bound=f.limit)
+    return detailed.join(grown.drop("source_version_id", "ordinal"), "chunk_id")
 
 
-def _neighbor_vectors(hits: DataFrame, allowed: DataFrame, embeddings: DataFrame, vector: Sequence[float], window: int) -> DataFrame:
-    """Chunks around the hits with their semantic score; bounded by the probe keys."""
+def _near(hits: DataFrame, chunks: DataFrame, window: int) -> DataFrame:
+    """The hits and the chunks up to ``window`` positions around them."""
     offsets = F.explode(F.array(*[F.lit(o) for o in range(-window, window + 1)]))
     keys = hits.select("source_version_id", F.col("ordinal").alias("_o"), offsets.alias("_d")).select("source_version_id", (F.col("_o") + F.col("_d")).alias("ordinal")).distinct()
-    near = allowed.join(F.broadcast(keys), ["source_version_id", "ordinal"])
-    vectors = embeddings.join(F.broadcast(near.select("chunk_id")), "chunk_id", "left_semi")
-    return near.join(vectors.select("chunk_id", V.cosine_to(F.col("vector"), vector).alias("_semantic")), "chunk_id", "left")
+    return chunks.join(keys, ["source_version_id", "ordinal"], "left_semi")
 
 
 def retrieval_event(query: str, filters: RetrievalFilters, hits: DataFrame, route: str | None = None) -> DataFrame:

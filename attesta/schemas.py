@@ -56,5 +56,11 @@ KEYS: dict[str, list[str]] = {
     "diagnostic_jobs": ["job_id"], "heartbeats": ["worker_id"],
 }
 
+# Content-addressed tables: a key is written once, so reading them needs no latest-wins pass.
+IMMUTABLE = {"source_versions", "artifacts", "chunks", "embeddings", "code_symbols", "code_relationships", "objects", "retrieval_events", "lifecycle", "timeline"}
+
+# Keys that searches look up by value; bloom filters let such reads skip row groups.
+LOOKUP_COLUMNS: dict[str, list[str]] = {"chunks": ["chunk_id", "source_version_id"], "embeddings": ["chunk_id"], "objects": ["content_hash"], "source_versions": ["source_id"]}
+
 # Partition columns that searches always restrict on, so files outside the scope are never opened.
 PARTITIONS: dict[str, list[str]] = {"chunks": ["domain_id"], "embeddings": ["embedding_space_id"]}

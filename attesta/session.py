@@ -23,6 +23,8 @@ TUNING_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Key lookups by literal list are checked against Parquet statistics and bloom filters.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "500",
 }
 
 

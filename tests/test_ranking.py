@@ -27,11 +27,11 @@ def test_neighbours_belong_to_the_best_hit(spark):
     chunks = spark.createDataFrame(rows, "chunk_id string, source_version_id string, ordinal long, text string")
     score = F.when(F.col("text") == "hit", 1.0 - F.col("ordinal") / 100).otherwise(F.lit(0.5))
     hits = ranked(ranking.top_k(chunks.withColumn("score", score), 3))
-    got = {r.chunk_id: (round(r.score, 4), r.neighboring_chunk_ids) for r in ranking.expand_neighbors(hits, chunks, 1, score).collect()}
+    got = {r.chunk_id: (round(r.score, 4), r.neighboring_chunk_ids) for r in ranking.expand_neighbors(hits, chunks, 1, score, bound=3).collect()}
     assert got == {
         "v1#0": (1.0, []), "v0#2": (0.98, []), "v0#4": (0.96, []), "v1#1": (0.45, ["v1#0"]), "v0#1": (0.45, ["v0#2"]), "v0#3": (0.45, ["v0#2"]), "v0#5": (0.45, ["v0#4"]),
     }
-    assert ranking.expand_neighbors(hits, chunks, 0, score).count() == 3
+    assert ranking.expand_neighbors(hits, chunks, 0, score, bound=3).count() == 3
 
 
 def test_numbering_is_exact_for_a_hot_key(spark):
