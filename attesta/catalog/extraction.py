@@ -112,3 +112,19 @@ def reference_statements(spark, sf_dir):
 
     rows = corpus.evidence(spark, sf_dir)
     return rows.select("chunk_id", reference_id("log-observation", "observed").alias("reference_id"), T.first_line(F.col("text")).alias("statement"))
+
+
+@query(
+    "bounded_outputs",
+    """SELECT doc_id, least(n, 8)::BIGINT AS row_count, n > 8 OR strlen(kept) > 1500 AS truncated,
+  CASE WHEN strlen(kept) > 1500 OR (n > 8 AND strlen(kept) > 1496) THEN 'cut' ELSE sha256(kept) END AS content
+ FROM (SELECT doc_id, len(lines) AS n, CASE WHEN len(lines) > 8 THEN array_to_string(lines[1:8], chr(10)) ELSE text END AS kept
+   FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents))""",
+)
+def bounded_outputs(spark, sf_dir):
+    from attesta.plans import diagnostics
+
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("stdout"), F.lit("text").alias("output_format"))
+    bounded = diagnostics.bound_outputs(docs, max_rows=8, max_bytes=1500)
+    cut = F.col("truncated") & (F.octet_length("stdout") > 1496)
+    return bounded.select("doc_id", "row_count", "truncated", F.when(cut, F.lit("cut")).otherwise(F.sha2("stdout", 256)).alias("content"))

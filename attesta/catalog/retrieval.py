@@ -236,6 +236,12 @@ _CENTROIDS = """parts AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x
  scored AS (SELECT qv.label AS query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, qv)"""
 
 
+def mean_vectors(rows):
+    """Mean vector of every label; one row per (label, dimension) leaves the partial average."""
+    means = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m")))["m"].alias("q"))
+
+
 @query(
     "bench_rank_vector",
     f"WITH {_CENTROIDS} SELECT query_id::BIGINT AS query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5",
@@ -243,9 +249,41 @@ _CENTROIDS = """parts AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x
 def bench_rank_vector(spark, sf_dir):
     """Every vector of the table against the mean vector of each label, in one pass."""
     rows = corpus.table(spark, sf_dir, "embeddings")
-    means = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    centroids = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m")))["m"].alias("q"))
-    asked = [ranking.Query(str(r.label), vector=r.q) for r in ranking.bounded_rows(centroids)]
+    asked = [ranking.Query(str(r.label), vector=r.q) for r in ranking.bounded_rows(mean_vectors(rows))]
     base = rows.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("ordinal"), "embedding")
     ranked = ranking.rank_many(base, asked, 5, vector="embedding")
     return ranked.select(F.col("query_id").cast("long").alias("query_id"), F.col("ordinal").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+_HYBRID_BENCH = f"""{_CENTROIDS.split('scored AS')[0].rstrip().rstrip(',')}, {S.DOCS}, lab AS (SELECT list(label ORDER BY label) AS labels FROM qv),
+ asked AS (SELECT item_id, {S.terms('b.text')} AS terms, (SELECT q FROM qv WHERE label = (SELECT labels[(b.item_id % len(labels) + 1)::INT] FROM lab)) AS q FROM benchmark b),
+ cand AS (SELECT d.chunk_id, d.ordinal, {S.terms('d.text')} AS terms, e.embedding::DOUBLE[] AS v FROM docs d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.acl_scope IN ('internal', 'public')),
+ sc AS (SELECT item_id, chunk_id, ordinal, 0.75 * list_cosine_similarity(v, q) + 0.25 * (len(list_intersect(a.terms, c.terms))::DOUBLE / len(a.terms)) AS score FROM asked a CROSS JOIN cand c)"""
+
+
+@query(
+    "bench_rank_hybrid",
+    f"WITH {_HYBRID_BENCH} SELECT item_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, ordinal, chunk_id) AS rank FROM sc) WHERE rank <= 5",
+)
+def bench_rank_hybrid(spark, sf_dir):
+    """Every embedded document against every benchmark text paired with a label's mean vector."""
+    rows = corpus.table(spark, sf_dir, "embeddings")
+    centroids = {r.label: r.q for r in ranking.bounded_rows(mean_vectors(rows))}
+    labels = sorted(centroids)
+    asked = [ranking.Query(r.query_id, r.text, centroids[labels[int(r.query_id) % len(labels)]]) for r in ranking.bounded_rows(B.benchmark_queries(spark, sf_dir))]
+    vectors = rows.select(corpus.text_of("doc-", F.col("vec_id")).alias("chunk_id"), "embedding")
+    embedded = B.scoped_documents(spark, sf_dir).join(vectors, "chunk_id")
+    ranked = ranking.rank_many(embedded, asked, 5, text="text", vector="embedding")
+    return ranked.select(F.col("query_id").cast("long").alias("item_id"), "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "embedding_lookup",
+    "SELECT doc_id, count(*) AS vectors, round(max(list_sum(embedding::DOUBLE[])), 5) AS total FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY doc_id",
+)
+def embedding_lookup(spark, sf_dir):
+    """The only vector of each embedded document; several spaces would be an error."""
+    vectors = corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.lit("hash-64:64:v1").alias("embedding_space_id"))
+    known = vectors.join(corpus.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi")
+    found = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("vectors"), P.unique_vector(known).alias("vector"))
+    return found.select("doc_id", "vectors", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))

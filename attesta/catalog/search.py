@@ -97,3 +97,31 @@ def batch_correlation(spark, sf_dir):
 def search_packages(spark, sf_dir):
     packs = ST.search_packages(_chunks(spark, sf_dir), "code_exact", ST.SearchRequest("return load_7", limit=25, filters=INTERNAL))
     return packs.select("package_id", "source_version_id", "score")
+
+
+@query(
+    "hit_enrichment",
+    f"""WITH c AS (SELECT *, regexp_extract(text, '^(\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}})', 1) AS t FROM ({S.LOGS}))
+ SELECT chunk_id, regexp_extract(text, 'correlation_id=([A-Za-z0-9._:-]+)', 1) AS correlation, replace(chunk_id, 'log-', 'req-') AS request, t::TIMESTAMP AS first_ts, greatest(1, (length(text) + 3) // 4)::BIGINT AS estimated_tokens, strlen(text)::BIGINT AS estimated_bytes,
+  array_to_string(list_sort(['logs', string_split(source_uri, '/')[2], replace(string_split(source_uri, '/')[2], '.log', '')]), ',') AS symbols FROM c""",
+)
+def hit_enrichment(spark, sf_dir):
+    rows = ST.enrich(corpus.logs(spark, sf_dir))
+    return rows.select(
+        "chunk_id", F.array_join("correlation_ids", ",").alias("correlation"), F.array_join("request_ids", ",").alias("request"), F.get("timestamps", F.lit(0)).cast("timestamp_ntz").alias("first_ts"),
+        "estimated_tokens", "estimated_bytes", F.array_join("symbol_names", ",").alias("symbols"),
+    )
+
+
+_RETRIEVED = f"""top AS (SELECT *, 1.0::DOUBLE AS score FROM ({S.CODE}) WHERE acl_scope = 'internal' AND contains(lower(text || locator), 'size_9') ORDER BY ordinal, chunk_id LIMIT 30)"""
+
+
+@query(
+    "package_findings",
+    f"""WITH {_RETRIEVED} SELECT 'fact' AS classification, 'Criminal-domain evidence matched: import catalog' AS statement, 1.0::DOUBLE AS confidence, source_id || ':' || locator AS provenance_ref,
+  'eref_' || left(sha256('eref' || chr(0) || source_id || chr(0) || source_version_id || chr(0) || locator || chr(0) || 'code_exact' || chr(0) || 'size_9' || chr(0)), 24) AS reference_id FROM top""",
+)
+def package_findings(spark, sf_dir):
+    """An identifier-like query takes the exact path; every reference becomes a fact."""
+    packs = ST.retrieve(_chunks(spark, sf_dir), ST.SearchRequest("size_9", limit=30, filters=INTERNAL))
+    return ST.package_findings(packs, "Criminal-domain")

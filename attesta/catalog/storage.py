@@ -186,3 +186,13 @@ def integration_edges(spark, sf_dir):
     spec = F.when(F.col("evidence_type") == "code", F.array(F.struct(F.lit("feeds").alias("relation_type"), target.alias("target"))))
     _, edges = namespaces.edges(described.withColumn("integration_edges", spec))
     return edges.select("edge_id", "source_namespace_id", "target_namespace_id", "relation_type", "domain_id")
+
+
+@query("metadata_merge", "SELECT page_id, 'page-' || page_id AS title, url AS source_uri, CASE WHEN page_id % 2 = 0 THEN 'reviewed' ELSE 'new' END AS state FROM pages")
+def metadata_merge(spark, sf_dir):
+    """Source metadata overlaid by block metadata: the right side wins."""
+    pages = corpus.table(spark, sf_dir, "pages")
+    left = F.create_map(F.lit("title"), corpus.text_of("page-", F.col("page_id")), F.lit("state"), F.lit("new"))
+    right = F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("state"), F.lit("reviewed"), F.lit("source_uri"), F.col("url"))).otherwise(F.create_map(F.lit("source_uri"), F.col("url")))
+    merged = F.map_concat(left, right)
+    return pages.select("page_id", merged["title"].alias("title"), merged["source_uri"].alias("source_uri"), merged["state"].alias("state"))

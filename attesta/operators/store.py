@@ -7,6 +7,7 @@ idempotent. Mutable entities are read through a latest-wins view over ``_seq``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -161,9 +162,9 @@ class EvidenceStore:
         stored = self.read("source_versions").where(F.col("batch") != batch).select(*keys).distinct().withColumn("_old", F.lit(True))
         flagged = first_per_key(bundle["source_versions"], keys, ["source_version_id"]).join(stored, keys, "left")
         flagged = flagged.withColumn("created", F.col("_old").isNull()).drop("_old")
-        fresh = flagged.where("created").drop("created")
+        self.append("source_versions", flagged.where("created").drop("created"), batch)
+        fresh = self.read("source_versions").where(F.col("batch") == batch)
         fresh_ids = fresh.select("source_version_id")
-        self.append("source_versions", fresh, batch)
         for name, rows in bundle.items():
             if name == "sources":
                 self.append(name, rows.join(fresh.select("source_id").distinct(), "source_id", "left_semi"), batch)
@@ -196,6 +197,23 @@ class EvidenceStore:
         chunks = self.current("chunks").select("source_version_id", "chunk_id", "ordinal", "locator")
         return provenance(versions, artifacts, chunks)
 
+    def migrate(self) -> list[str]:
+        """Record the schema of every table; refuse to work on tables written under another one.
+
+        Returns the tables recorded now. A recorded checksum that differs from the current
+        schema means the stored files do not match this version of the package.
+        """
+        wanted = {name: hashlib.sha256(table_schema(name).json().encode()).hexdigest() for name in TABLES if name != "schema_migrations"}
+        recorded = {r.version: r.checksum for r in self.read("schema_migrations").select("version", "checksum").distinct().collect()}
+        drifted = sorted(n for n, checksum in recorded.items() if wanted.get(n) != checksum)
+        if drifted:
+            raise RuntimeError(f"stored schema differs for {drifted}")
+        new = sorted(set(wanted) - set(recorded))
+        if new:
+            rows = self.spark.createDataFrame([(n, wanted[n]) for n in new], "version string, checksum string")
+            self.append("schema_migrations", rows.withColumn("applied_at", F.current_timestamp()), f"migration-{len(recorded)}")
+        return new
+
     def snapshot(self, target: str) -> None:
         """Copy every non-empty table to another root."""
         copy = EvidenceStore(self.spark, target)

@@ -49,8 +49,9 @@ def hybrid_scores(
 
 def space_mismatches(chunks: DataFrame, embeddings: DataFrame, space: str) -> DataFrame:
     """Chunks that have a vector in some other space but none in ``space``."""
-    spaces = embeddings.groupBy("chunk_id").agg(F.bool_or(F.col("embedding_space_id") == space).alias("here"))
-    return chunks.join(spaces.where(~F.col("here")).select("chunk_id"), "chunk_id", "left_semi")
+    here = F.col("embedding_space_id") == space
+    missing = chunks.join(embeddings.where(here).select("chunk_id"), "chunk_id", "left_anti")
+    return missing.join(embeddings.where(~here).select("chunk_id"), "chunk_id", "left_semi")
 
 
 def context_per(hits: DataFrame, keys: Sequence[str], max_chunks: int = ranking.CONTEXT_CHUNKS, max_tokens: int = ranking.CONTEXT_TOKENS) -> DataFrame:
@@ -95,7 +96,8 @@ def search(
     vector = query_vector if query_vector is not None else V.hash_vector(query, int(f.embedding_space_id.split(":")[1]))
     allowed = chunks.where(compile_filters(f))
     in_space = embeddings.where(F.col("embedding_space_id") == f.embedding_space_id)
-    if check_space:
+    # Other spaces are other partitions: with a single space there is nothing to compare.
+    if check_space and not embeddings.where(F.col("embedding_space_id") != f.embedding_space_id).isEmpty():
         stray = space_mismatches(allowed.select("chunk_id"), embeddings, f.embedding_space_id).limit(3).collect()
         if stray:
             raise EmbeddingSpaceMismatch(f"space {f.embedding_space_id} has no vectors for {[r.chunk_id for r in stray]}")

@@ -163,3 +163,29 @@ def retrieve(chunks: DataFrame, request: SearchRequest, mode: str | None = None)
 
     exact = mode in ("exact", "symbol") or re.fullmatch(extract.IDENTIFIER_QUERY, request.query.strip())
     return search_packages(chunks, "code_exact" if exact else "domain_evidence", request)
+
+
+def enrich(hits: DataFrame) -> DataFrame:
+    """Symbols, identifiers, timestamps and size estimates of each hit."""
+    text = F.col("text")
+    ids_of = {f"{k}_ids": extract.typed_ids(text, k) for k in ("correlation", "request", "session")}
+    return hits.withColumns(
+        {"symbol_names": _symbols(), "timestamps": extract.timestamps(text), "estimated_tokens": T.estimated_tokens(text), "estimated_bytes": T.estimated_bytes(text), **ids_of}
+    )
+
+
+def handoffs(packages: DataFrame, edges: DataFrame, domain_id: str) -> DataFrame:
+    """Packages whose namespace has an edge into another domain: those need delegation.
+
+    ``edges`` has ``source_namespace_id, target_domain_id, edge_id``.
+    """
+    foreign = edges.where((F.col("target_domain_id") != "") & (F.col("target_domain_id") != domain_id))
+    return packages.join(foreign, packages["namespace_id"] == foreign["source_namespace_id"])
+
+
+def package_findings(packages: DataFrame, label: str) -> DataFrame:
+    """One fact per evidence reference of the packages."""
+    refs = packages.select("package_id", F.inline("evidence_refs"))
+    return refs.select(
+        F.lit("fact").alias("classification"), F.concat(F.lit(f"{label} evidence matched: "), F.col("statement")).alias("statement"), F.lit(1.0).alias("confidence"), "provenance_ref", "reference_id"
+    )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,10 @@ class Platform:
     def tool(self, mode: str, request: search_tools.SearchRequest) -> DataFrame:
         return search_tools.search_packages(self.store.current("chunks"), mode, request)
 
+    def tools(self) -> dict[str, Callable[[search_tools.SearchRequest], DataFrame]]:
+        """The search tools by name, for an agent runtime."""
+        return {f"search_{mode}": partial(self.tool, mode) for mode in search_tools.TOOL_SOURCE_TYPES}
+
     def audit(self, request: audit.AuditRequest | str, batch: str | None = None) -> DataFrame:
         """Report row of a failure audit; with ``batch`` findings, timeline and report are stored."""
         asked = audit.AuditRequest.parse(request) if isinstance(request, str) else request

@@ -35,6 +35,7 @@ _DDL = {
     "lifecycle": "job_id string, state string, at timestamp, attempt int, details map<string,string>",
     "channel_events": "channel string, event_id string, message_id string, conversation_id string, thread_id string, reply_target string, actor_id string, auth_scope string, created_at timestamp",
     "diagnostic_jobs": "job_id string, payload_hash string, signature string, status string, attempt_count int, created_at timestamp, expires_at timestamp, leased_by string, lease_token string, lease_expires_at timestamp",
+    "schema_migrations": "version string, checksum string, applied_at timestamp",
     "heartbeats": "worker_id string, status string, observed_at timestamp, metadata map<string,string>",
 }
 
@@ -53,7 +54,7 @@ KEYS: dict[str, list[str]] = {
     "objects": ["content_hash"], "retrieval_events": ["event_id"], "findings": ["finding_id"], "timeline": ["event_id"], "audit_reports": ["report_id"],
     "verification_requests": ["request_id"], "admin_operations": ["operation_id"], "entities": ["entity_id"], "tags": ["tag_id"],
     "entity_tags": ["entity_id", "tag_id"], "jobs": ["job_id"], "lifecycle": ["job_id", "at", "state"], "channel_events": ["channel", "event_id"],
-    "diagnostic_jobs": ["job_id"], "heartbeats": ["worker_id"],
+    "diagnostic_jobs": ["job_id"], "heartbeats": ["worker_id"], "schema_migrations": ["version"],
 }
 
 # Content-addressed tables: a key is written once, so reading them needs no latest-wins pass.

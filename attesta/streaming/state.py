@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -93,6 +94,17 @@ def retries(failures: DataFrame, max_attempts: int = 3) -> DataFrame:
     return failures.groupBy("job_id").applyInPandasWithState(decide, output, "attempts long", "append", GroupStateTimeout.NoTimeout)
 
 
+def with_backoff(action: Callable[[], object], attempts: int = 3, initial: float = 0.25, ceiling: float = 2.0, transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError)):
+    """Run an action, waiting twice as long after each transient failure."""
+    for attempt in range(attempts):
+        try:
+            return action()
+        except transient:
+            if attempt + 1 == attempts:
+                raise
+            time.sleep(min(ceiling, initial * 2**attempt))
+
+
 def paged_source(name: str, schema: str, fetch_page: Callable[[str | None, int], tuple[list[tuple], str | None]], limit: int = 50) -> type[DataSource]:
     """A streaming source over a cursor-paged pull interface.
 
@@ -107,14 +119,14 @@ def paged_source(name: str, schema: str, fetch_page: Callable[[str | None, int],
         def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
             if start.get("done"):
                 return iter([]), start
-            rows, cursor = fetch_page(start["cursor"], limit)
+            rows, cursor = with_backoff(lambda: fetch_page(start["cursor"], limit))
             last = not rows or (cursor is None and len(rows) < limit)
             return iter(rows), {"cursor": cursor or start["cursor"], "rows": start["rows"] + len(rows), **({"done": True} if last else {})}
 
         def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
             if start == end:
                 return iter([])
-            return iter(fetch_page(start["cursor"], limit)[0])
+            return iter(with_backoff(lambda: fetch_page(start["cursor"], limit))[0])
 
     class PagedSource(DataSource):
         @classmethod

@@ -157,3 +157,19 @@ def test_unknown_chunks_get_no_embedding(platform, spark):
     rows = spark.createDataFrame([("nope", "x:1:v1", [1.0])], "chunk_id string, embedding_space_id string, vector array<float>")
     platform.store.save_embeddings(rows, "dangling")
     assert platform.store.read("embeddings").where("embedding_space_id = 'x:1:v1'").count() == 0
+
+
+def test_schema_drift_is_refused(spark, tmp_path):
+    s = store.EvidenceStore(spark, str(tmp_path / "m"))
+    assert "chunks" in s.migrate() and s.migrate() == []
+    s.append("schema_migrations", spark.createDataFrame([("chunks", "other")], "version string, checksum string"), "tampered")
+    with pytest.raises(RuntimeError):
+        s.migrate()
+
+
+def test_handoffs_name_foreign_edges(spark):
+    from attesta.plans import search_tools
+
+    packages = spark.createDataFrame([("p1", "n1"), ("p2", "n2")], "package_id string, namespace_id string")
+    edges = spark.createDataFrame([("n1", "encargos_sigef", "e1"), ("n2", "criminal", "e2")], "source_namespace_id string, target_domain_id string, edge_id string")
+    assert [r.package_id for r in search_tools.handoffs(packages, edges, "criminal").collect()] == ["p1"]

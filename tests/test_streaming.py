@@ -93,3 +93,19 @@ def test_health(spark):
     rows = [("a", True), ("a", True), ("b", True), ("b", None), ("c", False)]
     got = L.health(spark.createDataFrame(rows, "service string, ok boolean")).collect()
     assert {r.service: r.state for r in got} == {"a": "ok", "b": "degraded", "c": "failed"}
+
+
+def test_backoff_retries_transient_errors_only():
+    import pytest
+
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise ConnectionError
+        return "ok"
+
+    assert S.with_backoff(flaky, initial=0.001) == "ok" and len(calls) == 3
+    with pytest.raises(TimeoutError):
+        S.with_backoff(lambda: (_ for _ in ()).throw(TimeoutError()), attempts=2, initial=0.001)
