@@ -247,7 +247,7 @@ def rank_many(
     """Exact top-k of every query over the corpus in one pass.
 
     ``corpus`` has ``chunk_id, ordinal`` and the named text and/or vector column. The query set
-    is bounded (slices of ``QUERY_SLICE``; see :func:`rank_many_by_term` for unbounded sets) and
+    is bounded (slices of ``QUERY_SLICE``; :func:`rank_many_by_term` takes unbounded sets) and
     travels with the task closure. Each task scores its own rows and keeps k per query, so the
     shuffle carries at most k rows per query and task, never (query, chunk) pairs.
     """
@@ -291,13 +291,20 @@ def rank_many_by_term(corpus: DataFrame, queries: DataFrame, k: int, text: str =
     """Lexical top-k for a query table of any size (``query_id, text``).
 
     Postings of both sides meet on the term (adaptive execution splits frequent terms), the
-    shared terms are counted per query and chunk, and each task keeps k chunks per query.
-    Chunks that share no term with a query are not produced: callers that need zero-score
-    filler use :func:`rank_many`.
+    shared terms are counted per query and chunk, and each task keeps k chunks per query. A
+    query with fewer than k matching chunks is filled with zero-score chunks in tie-break
+    order; at most k - 1 of those can be matches already, so the first 2k - 1 chunks suffice.
     """
     asked = queries.select("query_id", T.lexical_terms(F.col("text")).alias("terms"))
     wanted = asked.select("query_id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
     offered = corpus.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"), F.explode(T.lexical_terms(F.col(text))).alias("term"))
     shared = offered.join(wanted, "term").groupBy("query_id", "chunk_id", "ordinal", "size").agg(F.count(F.lit(1)).alias("shared"))
     scored = shared.select("query_id", "chunk_id", "ordinal", (F.col("shared") / F.col("size")).alias("score"))
-    return top_k_per(scored, ["query_id"], k)
+    matched = top_k_per(scored, ["query_id"], k).drop("rank")
+    first = corpus.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal")).orderBy("ordinal", "chunk_id").limit(2 * k - 1).collect()
+    if not first:
+        return top_k_per(matched, ["query_id"], k)
+    short = queries.select("query_id").join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
+    spare = F.inline(F.array(*[F.struct(F.lit(r.chunk_id).alias("chunk_id"), F.lit(r.ordinal).cast("long").alias("ordinal"), F.lit(0.0).alias("score")) for r in first]))
+    filler = short.select("query_id", spare).join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return top_k_per(matched.unionByName(filler), ["query_id"], k)

@@ -38,14 +38,17 @@ def rank_lexical(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def relevance(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, source_id) pairs where the chunk text contains the query passage verbatim.
 
-    A bounded passage set is compiled into one multi-pattern automaton per task, so each text
-    is read once whatever the number of passages.
+    A passage set is compiled into one multi-pattern automaton per task, so each text is read
+    once whatever the number of passages. Larger sets are matched in slices by query id.
     """
-    rows = ranking.bounded_rows(queries.select("query_id", "text"))
-    if rows is None:
-        raise ValueError(f"more than {ranking.MAX_BROADCAST_ROWS} passages: give the relevant sources as a table instead")
-    passages = [(r.query_id, r.text) for r in rows if r.text]
-    return chunks.select("source_id", F.explode(matching_passages(passages)(F.col("text"))).alias("query_id")).select("query_id", "source_id")
+    slices = -(-queries.count() // ranking.MAX_BROADCAST_ROWS) or 1
+    found = None
+    for part in range(slices):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == part).select("query_id", "text").collect()
+        passages = [(r.query_id, r.text) for r in rows if r.text]
+        pairs = chunks.select("source_id", F.explode(matching_passages(passages)(F.col("text"))).alias("query_id")).select("query_id", "source_id")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
 
 
 def matching_passages(passages: Sequence[tuple[str, str]]):

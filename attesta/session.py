@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import py_compile
 import tempfile
 import zipfile
 
@@ -57,7 +58,10 @@ def ship_package(spark: SparkSession) -> None:
     root = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="attesta-"), "attesta.zip")
     with zipfile.PyZipFile(archive, "w") as package:
-        package.writepy(root)  # byte code, so that workers do not compile; sources as fallback
+        try:
+            package.writepy(root)  # byte code, so that workers do not compile
+        except (OSError, py_compile.PyCompileError):
+            pass  # a read-only installation ships sources only
         for folder, _, names in os.walk(root):
             for name in names:
                 if name.endswith(".py"):

@@ -92,11 +92,27 @@ def test_query_slices_give_the_same_result(spark, monkeypatch):
     assert got_lists(ranking.rank_many(df, queries, 4, text="text")) == whole
 
 
-def test_term_join_ranking_agrees_where_terms_are_shared(spark):
-    rows, df = corpus(spark)
-    queries = [ranking.Query("a", "alpha gamma x", ()), ranking.Query("b", "the of beta", ())]
-    table = spark.createDataFrame([(q.query_id, q.text) for q in queries], "query_id string, text string")
+def test_term_join_ranking_equals_brute_force(spark):
+    rows, df = corpus(spark, 60)
+    texts = {"a": "alpha gamma x", "b": "the of beta", "none": "absent words", "rare": "straße absent", "empty": ""}
+    rows.append(("z-only", 0, "unique_term", None))
+    df = df.unionByName(spark.createDataFrame(rows[-1:], df.schema))
+    texts["one"] = "unique_term"
+    queries = [ranking.Query(q, t, ()) for q, t in texts.items()]
+    table = spark.createDataFrame(list(texts.items()), "query_id string, text string")
     assert got_lists(ranking.rank_many_by_term(df, table, 5)) == brute(rows, queries, 5, 0.0, 1.0)
+    assert got_lists(ranking.rank_many(df, queries, 5, text="text")) == brute(rows, queries, 5, 0.0, 1.0)
+
+
+def test_relevance_slices_agree(spark, monkeypatch):
+    from attesta.plans import benchmark
+
+    chunks = spark.createDataFrame([("s1", "one two three"), ("s2", "two three four"), ("s3", None)], "source_id string, text string")
+    queries = spark.createDataFrame([("a", "two three"), ("b", "four"), ("c", "zzz"), ("d", "two three")], "query_id string, text string")
+    expected = {("a", "s1"), ("a", "s2"), ("b", "s2"), ("d", "s1"), ("d", "s2")}
+    for limit in (100, 2, 1):
+        monkeypatch.setattr(ranking, "MAX_BROADCAST_ROWS", limit)
+        assert {(r.query_id, r.source_id) for r in benchmark.relevance(chunks, queries).collect()} == expected
 
 
 def test_ranking_needs_no_cross_join_and_prunes_before_the_shuffle(spark):
