@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, decontamination, quality_rules
+from attesta.llm import bpe, decontamination, near_dup, quality_rules
 from attesta.llm.common import read_table
 
 QUERIES = {}
@@ -64,6 +64,27 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NEAR_DUP_SQL = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') as w from documents),
+s as (
+  select r, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))) as k from d where len(w) > 0),
+n as (select r, count(*) as n from s group by r),
+i as (select a.r as a, b.r as b, count(*) as i from s a join s b on a.k = b.k and a.r < b.r group by all),
+e as (select a, b from i join n x on x.r = a join n y on y.r = b where 100 * i >= 85 * (x.n + y.n - i)),
+both_ as (select a, b from e union all select b, a from e),
+reach(a, b) as (select a, b from both_ union select reach.a, both_.b from reach join both_ on reach.b = both_.a),
+c as (select reach.a as r, min(d.doc_id) as least from reach join d on d.r = reach.b group by reach.a)
+select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(least, doc_id)) as component_id, doc_id = least(doc_id, coalesce(least, doc_id)) as kept
+from d left join n using (r) left join c using (r)
+"""
+
+
+@query("op8_minhash_near_dup", NEAR_DUP_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
 _W = r"[^ \t\n\x0B\f\r]+"
 _RULE_STOPS = ", ".join(f"'{w}'" for w in sorted({w for g in quality_rules.STOP_WORDS.values() for w in g}))
 QUALITY_RULES_SQL = rf"""
