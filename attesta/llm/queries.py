@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, decontamination, near_dup, quality_rules
-from attesta.llm.common import read_table
+from attesta.llm import bpe, decontamination, language, near_dup, quality_model, quality_rules
+from attesta.llm.common import held_out, read_table
 
 QUERIES = {}
 ORACLES = {}
@@ -27,6 +27,13 @@ def ranks() -> bpe.Ranks:
     return bpe.Ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 DECONTAMINATION_SQL = r"""
 with dw as (
   select rowid_ as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
@@ -85,6 +92,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
 
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = quality_model.score(docs.select("doc_id", "text"), quality_model.fit(docs, read_table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
+
+
 _W = r"[^ \t\n\x0B\f\r]+"
 _RULE_STOPS = ", ".join(f"'{w}'" for w in sorted({w for g in quality_rules.STOP_WORDS.values() for w in g}))
 QUALITY_RULES_SQL = rf"""
