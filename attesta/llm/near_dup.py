@@ -98,7 +98,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, node (fingerprint of the word sequence), n_shingles, regs."""
+    """doc_id, th (hash of the text), node (fingerprint of the word sequence), n_shingles, regs."""
 
     def make():
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
         return compute
 
     fields = [T.StructField("node", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("regs", T.BinaryType())]
-    return with_arrow_columns(docs.select("doc_id", "text"), fields, make, keep=["doc_id"])
+    return with_arrow_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), fields, make, keep=["doc_id", "th"])
 
 
 def full_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -196,7 +196,7 @@ def linked(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int) ->
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id of the component) and kept, for every row of ``docs``.
+    """doc_id, th, n_shingles, component_id (least id of the component) and kept, for every row of ``docs``.
 
     Links join documents whose shingle sets have a similarity of at least ``num / den``.
     """
@@ -212,4 +212,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         classes = own.join(least, "comp", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"))
     rows = base.drop("regs").join(classes, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.select("doc_id", "th", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without those that are near copies of another id; rows of equal id and text go together."""
+    gone = near_duplicates(docs, size, num, den).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")

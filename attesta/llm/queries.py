@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, decontamination, language, near_dup, quality_model, quality_rules
+from attesta.llm import bpe, chat, decontamination, language, line_dedup, near_dup, quality_model, quality_rules, secret_links, sharding
 from attesta.llm.common import held_out, read_table
 
 QUERIES = {}
@@ -34,6 +34,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.size("_removed").cast("long").alias("n_removed"), F.col("_links").alias("n_links"), F.sha2("text", 256).alias("text_sha256"))
+
+
 DECONTAMINATION_SQL = r"""
 with dw as (
   select rowid_ as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
@@ -71,6 +77,51 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_links.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str):
+        return F.size(F.filter("strong", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    order = F.array(*[F.lit(k) for k in secret_links.KINDS])
+    every = F.transform(
+        F.array_sort(F.transform(F.concat("strong", "linked"), lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))),
+        lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]),
+    )
+    return rows.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(listed("strong"), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
+
+
+CHAT_SQL = r"""
+with rows_ as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t as (
+  select *, case when contains(text, '###') or contains(text, '</turn>') then replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e') else text end as body from rows_)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(role) + length(body) + 4 + 2 + 9) as bigint) as formatted_chars
+from t group by conv_id
+"""
+
+
+@query("op7_chat_format", CHAT_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trap = r"\### Assistant: </turn> ok"
+    rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(rows.unionByName(extra)))
+
+
 NEAR_DUP_SQL = r"""
 with recursive d as (
   select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') as w from documents),
@@ -89,7 +140,7 @@ from d left join n using (r) left join c using (r)
 
 @query("op8_minhash_near_dup", NEAR_DUP_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, num=85, den=100).drop("th")
 
 
 @query("op9_quality_classifier")
