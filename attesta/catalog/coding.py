@@ -78,14 +78,13 @@ def code_symbol_search(spark, sf_dir):
 @query(
     "bench_rank_symbols",
     f"""WITH {_DECL}, t AS (SELECT ['size_7', 'part7', 'class'] AS terms), found AS (SELECT sym.*, list_sum(list_transform(t.terms, lambda x: (contains(lower(name), x) OR contains(lower(qualified_name), x) OR contains(kind, x))::INT))::DOUBLE / 3 AS match FROM sym, t),
- top AS (SELECT * FROM found WHERE match > 0 ORDER BY lower(name), source_version_id, n LIMIT 20000), pos AS (SELECT *, row_number() OVER (ORDER BY match DESC, lower(name) DESC, n DESC, source_version_id) AS position FROM top)
+ pos AS (SELECT *, row_number() OVER (ORDER BY match DESC, lower(name) DESC, n DESC, source_version_id) AS position FROM found WHERE match > 0)
  SELECT match, count(*) AS symbols, min(position) AS best_position FROM pos GROUP BY match""",
 )
 def bench_rank_symbols(spark, sf_dir):
     """Match strength of the symbols found for one query and the rank each strength starts at."""
     symbols = code_index.qualified(code_index.declarations(_sources(spark, sf_dir))).withColumn("chunk_id", F.concat_ws("#", "source_version_id", "line_start"))
-    placed = code_index.place_symbols(symbols, "Size_7 Part7 class", 20_000)
-    return placed.groupBy("match").agg(F.count(F.lit(1)).alias("symbols"), F.min("position").alias("best_position"))
+    return code_index.match_strengths(symbols, "Size_7 Part7 class")
 
 
 @query(

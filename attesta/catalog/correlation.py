@@ -15,13 +15,13 @@ from attesta.sources import corpus
 
 _WORDS = ["sinquer", "SCO case", "judicial", "sigef encargos", "administrative and criminal", "nothing", "sicjut sigepra", "escopo"]
 _NEEDLES = "[" + ", ".join(f"{{'n': '{n}', 'd': '{d}'}}" for n, d in profiles.DOMAIN_NEEDLES) + "]"
-_QUESTIONS = f"q AS (SELECT conv_id, turn, left(text, 40) || ' ' || {S.choice('conv_id + turn', _WORDS)} AS question FROM conversations)"
+_QUESTIONS = f"q AS (SELECT conv_id, turn, text || ' ' || {S.choice('conv_id + turn', _WORDS)} AS question FROM conversations)"
 _INFERRED = f"{_QUESTIONS}, inferred AS (SELECT *, list_filter({_NEEDLES}, lambda x: contains(lower(question), x.n)) AS found FROM q)"
 
 
 def _questions(spark, sf_dir):
     turns = corpus.table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", corpus.text_of(F.substring("text", 1, 40), " ", corpus._choice(F.col("conv_id") + F.col("turn"), _WORDS)).alias("question"))
+    return turns.select("conv_id", "turn", corpus.text_of(F.col("text"), " ", corpus._choice(F.col("conv_id") + F.col("turn"), _WORDS)).alias("question"))
 
 
 _ORDERED = "(SELECT string_agg(d, ',' ORDER BY p) FROM (SELECT d, min(p) AS p FROM (SELECT unnest(found).d AS d, generate_subscripts(found, 1) AS p) GROUP BY d ORDER BY min(p) LIMIT {n}))"

@@ -49,7 +49,7 @@ def queue_state_counts(spark, sf_dir):
 )
 def dlq_attempts(spark, sf_dir):
     failures = _events(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").alias("job_id"), "event_id", (F.col("value") < 40).alias("retryable"))
-    return L.attempt_log(failures, "event_id", bucket_rows=512).select("job_id", "event_id", "attempt", "outcome")
+    return L.attempt_log(failures, "event_id").select("job_id", "event_id", "attempt", "outcome")
 
 
 @query(

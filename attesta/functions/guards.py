@@ -118,9 +118,12 @@ def classify(uri: Column) -> Column:
 
 
 def looks_like_text(content: Column) -> Column:
-    """No NUL and valid UTF-8 within the first 4096 bytes."""
+    """No NUL and valid UTF-8 within the first 4096 bytes; a character may lie across the border."""
     sample = F.substring(content, 1, 4096)
-    return F.is_valid_utf8(sample.cast("string")) & (F.position(F.lit("\0"), F.decode(sample, "ISO-8859-1")) == 0)
+    whole = F.is_valid_utf8(sample.cast("string"))
+    for cut in (1, 2, 3):
+        whole = whole | ((F.octet_length(content) > 4096) & F.is_valid_utf8(F.substring(content, 1, 4096 - cut).cast("string")))
+    return whole & (F.position(F.lit("\0"), F.decode(sample, "ISO-8859-1")) == 0)
 
 
 def sql_literal(value: object) -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,12 +32,24 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_SPACE, "")
 
 
+@cache
+def extra_foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose full case folding is more than lower-casing: to one character, to several.
+
+    The sigmas are listed because lower-casing treats them by their place in the word.
+    """
+    pairs = {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if c.casefold() != c.lower()} | {"Σ": "σ", "ς": "σ"}
+    return {c: f for c, f in pairs.items() if len(f) == 1}, {c: f for c, f in pairs.items() if len(f) > 1}
+
+
 def casefold(text: Column) -> Column:
-    """Lower-case plus the foldings that plain lower-casing leaves out."""
-    folded = F.lower(text)
-    for raw, plain in (("ß", "ss"), ("ς", "σ"), ("ſ", "s")):
+    """Full case folding; texts without any of the special characters are only lower-cased."""
+    single, several = extra_foldings()
+    folded = F.translate(text, "".join(single), "".join(single.values()))
+    for raw, plain in several.items():
         folded = F.replace(folded, F.lit(raw), F.lit(plain))
-    return folded
+    special = "[" + "".join(sorted({*single, *several})) + "]"
+    return F.lower(F.when(F.rlike(text, F.lit(special)), folded).otherwise(text))
 
 
 def splitlines(text: Column) -> Column:
@@ -67,7 +80,7 @@ def query_terms(query: str) -> list[str]:
     """Terms of one query string, computed on the driver."""
     terms: dict[str, None] = {}
     for token in re.findall(r"\w+(?:[./:-]\w+)*", query):
-        folded = token.casefold()
+        folded = token.casefold().lower()  # as the column form: foldings first, then lower case
         terms[folded] = None
         for part in re.split(r"[._/:+-]+", folded):
             if part:

@@ -81,10 +81,12 @@ def attach_chunks(decls: DataFrame, chunks: DataFrame) -> DataFrame:
     spread = bounded.select("source_version_id", "chunk_id", "_ordinal", "_locator", "_from", F.col("line_end").alias("_to"), F.explode(buckets).alias("_bucket"))
     keyed = decls.withColumn("_bucket", F.floor(F.col("line_start") / LINE_BUCKET))
     inside = keyed.join(spread, ["source_version_id", "_bucket"]).where(F.col("line_start").between(F.col("_from"), F.col("_to"))).drop("_bucket", "_from", "_to")
-    open_ended = first_per_key(
-        spans.where(F.col("line_end").isNull()).select("source_version_id", "chunk_id", "_ordinal", "_locator"), ["source_version_id"], ["_ordinal"]
-    )
-    anywhere = decls.join(open_ended, "source_version_id").select(*inside.columns)
+    starts = spans.where(F.col("line_end").isNull()).withColumn("_from", F.coalesce("line_start", F.lit(1)))
+    # of the open chunks that start at one line only the first can win; those of a file are few
+    firsts = starts.groupBy("source_version_id", "_from").agg(F.min(F.struct("_ordinal", "chunk_id", "_locator")).alias("_first"))
+    open_ended = firsts.groupBy("source_version_id").agg(F.collect_list(F.struct("_from", "_first")).alias("_open"))
+    reached = F.array_min(F.transform(F.filter("_open", lambda o: o["_from"] <= F.col("line_start")), lambda o: o["_first"]))
+    anywhere = decls.join(open_ended, "source_version_id").withColumn("_first", reached).where(F.col("_first").isNotNull()).select("*", "_first.*").select(*inside.columns)
     return first_per_key(inside.unionByName(anywhere), ["source_version_id", "line_start", "kind", "name"], ["_ordinal"])
 
 
@@ -131,7 +133,7 @@ def relationships(symbols_: DataFrame) -> DataFrame:
     return resolved.withColumn("relationship_id", ids.index_id("rel", F.col("symbol_id"), F.col("relation_type"), F.col("target")))
 
 
-def search_symbols(symbols_: DataFrame, query: str, limit: int | None) -> DataFrame:
+def search_symbols(symbols_: DataFrame, query: str, limit: int | None, ordered: bool = True) -> DataFrame:
     """Symbols whose name, qualified name or kind contains any query term; no term matches all."""
     import re
 
@@ -140,16 +142,14 @@ def search_symbols(symbols_: DataFrame, query: str, limit: int | None) -> DataFr
     for term in sorted(terms):
         for column in ("name", "qualified_name", "kind"):
             hit = hit | F.contains(F.lower(column), F.lit(term))
-    found = symbols_.where(hit).orderBy(F.lower("name"), "source_version_id", "line_start")
+    found = symbols_.where(hit)
+    if ordered:
+        found = found.orderBy(F.lower("name"), "source_version_id", "line_start")
     return found if limit is None else found.limit(max(1, limit))
 
 
-def place_symbols(symbols_: DataFrame, query: str, limit: int) -> DataFrame:
-    """Found symbols with match strength and position, strongest first.
-
-    Ordered by (exact match + matched terms / terms, name, line), all descending. The input is
-    cut to ``limit`` by the search, so one task numbers it.
-    """
+def matched_symbols(symbols_: DataFrame, query: str) -> DataFrame:
+    """All found symbols with their match: exact (0 or 1) + matched terms / terms."""
     import re
 
     terms = sorted({t.lower() for t in re.findall(r"[\w./:-]+", query)})
@@ -158,9 +158,28 @@ def place_symbols(symbols_: DataFrame, query: str, limit: int) -> DataFrame:
     for term in terms:
         matched = matched + F.greatest(*[F.contains(n, F.lit(term)).cast("int") for n in names])
     exact = F.greatest(*[(n == query.lower()).cast("double") for n in names])
-    scored = search_symbols(symbols_, query, limit).withColumn("match", exact + matched / F.lit(float(max(1, len(terms)))))
-    order = Window.orderBy(F.desc("match"), F.lower("name").desc(), F.desc("line_start"), "source_version_id")
-    return scored.withColumn("position", F.row_number().over(order).cast("long"))
+    return search_symbols(symbols_, query, None, ordered=False).withColumn("match", exact + matched / F.lit(float(max(1, len(terms)))))
+
+
+def match_strengths(symbols_: DataFrame, query: str) -> DataFrame:
+    """(match, symbols, best_position): how many symbols match how well, and the rank each strength starts at.
+
+    A strength starts after all stronger symbols, so the counts of the strengths (as many as the
+    query has terms) give the ranks of all symbols without numbering them.
+    """
+    counted = matched_symbols(symbols_, query).groupBy("match").agg(F.count(F.lit(1)).alias("symbols"))
+    stronger = Window.orderBy(F.desc("match")).rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("best_position", F.coalesce(F.sum("symbols").over(stronger), F.lit(0).cast("long")) + 1)
+
+
+def place_symbols(symbols_: DataFrame, query: str, limit: int) -> DataFrame:
+    """The ``limit`` best symbols by (match, name, line), all descending, with their position.
+
+    All found symbols are ranked before the limit; only what it leaves is numbered.
+    """
+    order = [F.desc("match"), F.lower("name").desc(), F.desc("line_start"), F.asc("source_version_id")]
+    best = matched_symbols(symbols_, query).orderBy(*order).limit(max(1, int(limit)))
+    return best.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def rank_symbols(symbols_: DataFrame, query: str, limit: int) -> DataFrame:

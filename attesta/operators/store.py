@@ -2,7 +2,13 @@
 
 Tables are append-only Parquet logs. A write never touches existing files: every batch owns
 one ``batch`` partition and replaces only that, so replaying a batch after a failure is
-idempotent. Mutable entities are read through a latest-wins view over ``_seq``.
+idempotent. Mutable entities are read through a latest-wins view over ``_seq``: the time a batch
+was first written, plus the row's ``_order`` within the batch in microseconds. A replay keeps the
+time of the first write, so an old batch never overtakes a newer one.
+
+``source_versions`` is the marker of a batch and written last. Rows that a version owns count
+only when their batch has its marker, so a batch that broke off is neither read nor taken as
+stored.
 """
 
 from __future__ import annotations
@@ -17,8 +23,8 @@ from pyspark.sql import functions as F
 
 from attesta.operators.filters import RetrievalFilters, admin_visible, source_status
 from attesta.operators.ranking import first_per_key, latest_per_key, numbered_within
-from attesta.schemas import IMMUTABLE, KEYS, LOOKUP_COLUMNS, PARTITIONS, TABLES, table_schema
-from attesta.session import prepare
+from attesta.schemas import IMMUTABLE, KEYS, LOOKUP_COLUMNS, PARTITIONS, TABLES, VERSION_OWNED, table_schema
+from attesta.session import cut_lineage, prepare
 
 
 def put_objects(existing: DataFrame, incoming: DataFrame, key: str = "content_hash", order: str = "seq") -> DataFrame:
@@ -129,6 +135,9 @@ class EvidenceStore:
         Content-addressed tables are returned as stored: their keys never repeat.
         """
         rows = self.read(name)
+        if name in VERSION_OWNED:
+            marked = self.read("source_versions").select("batch").distinct()  # one row for each batch, from partition values
+            return rows.join(marked, "batch", "left_semi").select(*rows.columns)
         if name in IMMUTABLE:
             return rows
         if name != "sources":
@@ -138,15 +147,17 @@ class EvidenceStore:
         return picked.select(*KEYS[name], *[F.col("_created").alias(c) if c == "created_at" else F.col(f"_row.{c}").alias(c) for c in rest])
 
     def append(self, name: str, rows: DataFrame, batch: str) -> None:
-        """Write one batch; a replay of the same batch replaces its own output only."""
+        """Write one batch; a replay of the same batch replaces its own output only.
+
+        ``_order`` (optional, from 0) orders the rows of the batch; rows may also bring their own ``_seq``.
+        """
         schema = table_schema(name)
         given = set(rows.columns)
-        shaped = rows.select(
-            *[
-                (F.col(f.name) if f.name in given else F.current_timestamp() if f.name == "_seq" else F.lit(batch) if f.name == "batch" else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in schema.fields
-            ]
-        )
+        first = self.read(name).where(F.col("batch") == batch).agg(F.min("_seq")).first()[0]
+        written = F.lit(first).cast("timestamp") if first is not None else F.current_timestamp()
+        place = F.coalesce(F.col("_order"), F.lit(0)) if "_order" in given else F.lit(0)
+        own = {"_seq": written + F.make_dt_interval(secs=(place / F.lit(1_000_000)).cast("decimal(18,6)")), "batch": F.lit(batch)}
+        shaped = rows.select(*[(F.col(f.name) if f.name in given else own.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in schema.fields])
         writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         for column in LOOKUP_COLUMNS.get(name, []):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
@@ -161,10 +172,8 @@ class EvidenceStore:
         keys = ["source_id", "content_hash", "parser_version"]
         stored = self.read("source_versions").where(F.col("batch") != batch).select(*keys).distinct().withColumn("_old", F.lit(True))
         flagged = first_per_key(bundle["source_versions"], keys, ["source_version_id"]).join(stored, keys, "left")
-        flagged = flagged.withColumn("created", F.col("_old").isNull()).drop("_old")
-        self.append("source_versions", flagged.where("created").drop("created"), batch)
-        fresh = self.read("source_versions").where(F.col("batch") == batch)
-        fresh_ids = fresh.select("source_version_id")
+        flagged = cut_lineage(flagged.withColumn("created", F.col("_old").isNull()).drop("_old"))
+        fresh = flagged.where("created")
         for name, rows in bundle.items():
             if name == "sources":
                 self.append(name, rows.join(fresh.select("source_id").distinct(), "source_id", "left_semi"), batch)
@@ -173,11 +182,12 @@ class EvidenceStore:
             elif name in ("namespaces", "integration_edges"):
                 self.append(name, rows, batch)
             elif name != "source_versions":
-                self.append(name, rows.join(fresh_ids, "source_version_id", "left_semi"), batch)
+                self.append(name, rows.join(fresh.select("source_version_id"), "source_version_id", "left_semi"), batch)
+        self.append("source_versions", fresh.drop("created"), batch)  # the marker: only now does the batch count
         return flagged
 
     def save_embeddings(self, rows: DataFrame, batch: str) -> None:
-        self.append("embeddings", chunk_guard(rows, self.read("chunks")), batch)
+        self.append("embeddings", chunk_guard(rows, self.current("chunks")), batch)
 
     def get_objects(self, keys: DataFrame) -> DataFrame:
         return self.read("objects").join(keys.select("content_hash").distinct(), "content_hash", "left_semi")
@@ -218,7 +228,7 @@ class EvidenceStore:
         """Copy every non-empty table to another root."""
         copy = EvidenceStore(self.spark, target)
         for name in TABLES:
-            copy.append(name, self.read(name).drop("batch"), "snapshot")
+            copy.append(name, (self.current(name) if name in VERSION_OWNED else self.read(name)).drop("batch"), "snapshot")
 
     def compact(self, name: str, target: str, file_bytes: int = 256 * 1024 * 1024) -> None:
         """Rewrite the current rows of one table below another root in files of about one size.

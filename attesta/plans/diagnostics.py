@@ -88,8 +88,10 @@ def outputs_as_sources(outputs: DataFrame) -> DataFrame:
 
 
 def execute(job: Mapping[str, object], run: Callable[[str], DataFrame], secret: bytes) -> DataFrame:
-    """Run a verified job through an injected runner and bound its rows."""
+    """Run a verified job through an injected runner; its first rows in column order, ``truncated`` if there were more."""
     payload = {k: v for k, v in job.items() if k not in ("payload_hash", "signature", "status")}
     if not verify(payload, str(job["payload_hash"]), str(job["signature"]), secret):
         raise PermissionError("job signature does not match")
-    return run(str(job["sql_text"])).limit(int(job["max_rows"]))
+    rows, bound = run(str(job["sql_text"])), int(job["max_rows"])
+    more = rows.limit(bound + 1).count() > bound
+    return rows.orderBy(*rows.columns).limit(bound).withColumn("truncated", F.lit(more))

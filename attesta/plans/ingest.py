@@ -13,6 +13,7 @@ from attesta.functions import ids, redact
 from attesta.functions import vectors as V
 from attesta.functions.text import chunk_locator
 from attesta.operators import code_index, namespaces
+from attesta.operators.ranking import first_per_key
 from attesta.operators.store import EvidenceStore, version_numbers
 from attesta.session import cut_lineage
 from attesta.sources import blocks as B
@@ -22,6 +23,8 @@ DEFAULTS = {
     "source_kind": "document", "channel": "manual", "domain_id": "general", "system_id": "unknown", "environment": "unknown",
     "acl_scope": "internal", "source_type": "document", "mime_type": "text/plain", "parser_name": "identity", "parser_version": "1",
 }
+# Versions of one source that arrive within this many microseconds are numbered by one task.
+ARRIVAL_BUCKET = 24 * 3_600_000_000
 SCOPE = ["namespace_id", "domain_id", "system_id", "component_id", "environment", "evidence_type", "acl_scope"]
 
 
@@ -97,24 +100,31 @@ def embedding_rows(chunks: DataFrame, space: str, purpose: str = "retrieval_docu
 def ingest(store: EvidenceStore, raw: DataFrame, batch: str, space: str = "hash-768:768:v1", blocks: Column | None = None) -> DataFrame:
     """Ingest raw sources (``source_id, source_uri, content`` plus scope) into the store.
 
-    The prepared sources feed seven tables, so they are checkpointed once. Returns the
-    versions with their ``created`` flag.
+    Versions of a source are numbered in order of arrival: by the column ``arrival`` (a number),
+    else ``modified_at``, else the ingest time. The prepared sources feed seven tables, so they
+    are checkpointed once. Returns the versions with their ``created`` flag.
     """
     stamped = raw if "ingest_ts" in raw.columns else raw.withColumn("ingest_ts", F.current_timestamp())
     carried = stamped if blocks is None else stamped.withColumn("_parsed", blocks)
-    prepared = cut_lineage(prepare_sources(carried).dropDuplicates(["source_version_id"]))
-    seen = store.read("source_versions").where(F.col("batch") != batch).select("source_id", "content_hash", F.col("version_number").alias("seq"))
-    arriving = prepared.select("source_id", "content_hash").distinct().join(seen.select("source_id", "content_hash").distinct(), ["source_id", "content_hash"], "left_anti")
-    base = seen.groupBy("source_id").agg(F.max("seq").alias("_base"))
-    numbered = version_numbers(arriving, order=None)
-    numbers = numbered.join(base, "source_id", "left").select("source_id", "content_hash", (F.coalesce("_base", F.lit(0)) + F.col("version_number")).alias("version_number"))
+    arrival = next((c for c in ("arrival", "modified_at", "ingest_ts") if c in carried.columns), None)
+    arrived = carried.withColumn("_arrival", F.unix_micros(F.col(arrival).cast("timestamp")))
+    # of equal versions the first to arrive stays, and its metadata with it
+    prepared = cut_lineage(first_per_key(prepare_sources(arrived), ["source_version_id"], ["_arrival", "source_uri"]))
+    stored = store.read("source_versions").select("source_id", "content_hash", F.col("version_number").alias("seq"), "batch")
+    seen = stored.where(F.col("batch") != batch)
+    # a replay keeps the numbers that its first run gave; its own partition is about to be replaced
+    own = cut_lineage(stored.where(F.col("batch") == batch).groupBy("source_id", "content_hash").agg(F.min("seq").alias("version_number")))
     known = seen.groupBy("source_id", "content_hash").agg(F.min("seq").alias("version_number"))
+    known = known.unionByName(own.join(known, ["source_id", "content_hash"], "left_anti"))
+    arriving = prepared.groupBy("source_id", "content_hash").agg(F.min("_arrival").alias("seq")).join(known, ["source_id", "content_hash"], "left_anti")
+    base = stored.groupBy("source_id").agg(F.max("seq").alias("_base"))
+    numbers = version_numbers(arriving, bucket_rows=ARRIVAL_BUCKET).join(base, "source_id", "left").select("source_id", "content_hash", (F.coalesce("_base", F.lit(0)) + F.col("version_number")).alias("version_number"))
     versions = prepared.join(numbers.unionByName(known), ["source_id", "content_hash"]).withColumn("object_key", F.col("content_hash"))
     chunks = cut_lineage(chunk_rows(prepared, None if blocks is None else F.col("_parsed")))
     source_text = prepared.withColumn("content", F.col("content").cast("string"))
     symbols = code_index.symbols(source_text.select("source_id", "source_version_id", "source_uri", "content", *SCOPE), chunks)
     bundle = {
-        "sources": prepared.withColumns({"created_at": F.col("ingest_ts"), "updated_at": F.col("ingest_ts")}),
+        "sources": versions.withColumn("_order", F.col("version_number")).withColumns({"created_at": F.col("ingest_ts"), "updated_at": F.col("ingest_ts")}),
         "source_versions": versions,
         "artifacts": prepared.withColumn("object_key", F.col("content_hash")),
         "chunks": chunks,

@@ -72,8 +72,7 @@ def matching(chunks: DataFrame, request: SearchRequest) -> DataFrame:
         wanted = F.lit("/".join(p for p in request.path.lower().split("/") if p not in ("", ".")) if not request.path.startswith("/") else request.path.lower())
         predicate = predicate & (F.contains(F.lower("source_uri"), wanted) | F.contains(F.lower("locator"), wanted))
     if request.module:
-        # Asking for a module admits it by definition; the stem and metadata only widen the set.
-        predicate = predicate & F.array_contains(F.array(F.lit(request.module.lower()), F.lower(extract.file_stem(F.col("source_uri"))), F.lower(_metadata(chunks, "module_name"))), request.module.lower())
+        predicate = predicate & F.array_contains(F.array(F.lower(extract.file_stem(F.col("source_uri"))), F.lower(_metadata(chunks, "module_name"))), request.module.lower())
     for name in (request.class_name, request.method_name):
         if name:
             predicate = predicate & (F.array_contains("symbols", name.lower()) | F.contains(hay, F.lit(name.lower())))

@@ -57,8 +57,11 @@ KEYS: dict[str, list[str]] = {
     "diagnostic_jobs": ["job_id"], "heartbeats": ["worker_id"], "schema_migrations": ["version"],
 }
 
+# Written together with the version that owns them, before its marker.
+VERSION_OWNED = {"artifacts", "chunks", "code_symbols", "code_relationships"}
+
 # Content-addressed tables: a key is written once, so reading them needs no latest-wins pass.
-IMMUTABLE = {"source_versions", "artifacts", "chunks", "embeddings", "code_symbols", "code_relationships", "objects", "retrieval_events", "lifecycle", "timeline"}
+IMMUTABLE = {"source_versions", "artifacts", "chunks", "code_symbols", "code_relationships", "objects", "retrieval_events", "lifecycle", "timeline"}
 
 # Keys that searches look up by value; bloom filters let such reads skip row groups.
 LOOKUP_COLUMNS: dict[str, list[str]] = {"chunks": ["chunk_id", "source_version_id"], "embeddings": ["chunk_id"], "objects": ["content_hash"], "source_versions": ["source_id"]}

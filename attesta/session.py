@@ -15,8 +15,6 @@ REQUIRED_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
 # Settings that only shape the physical plan.
 TUNING_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -24,6 +22,8 @@ TUNING_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Key lookups by literal list are checked against Parquet statistics and bloom filters.
     "spark.sql.parquet.pushdown.inFilterThreshold": "500",
 }
@@ -71,19 +71,6 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a table too small to be split that far.
-
-    A file with few row groups is read by few tasks however many cores wait. When the scan is
-    estimated below one default split per core, its rows are dealt out once: that moves at
-    most ``cores * maxPartitionBytes``. Larger tables have enough splits and pass unchanged.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(size) < cores * SPLIT_BYTES else df
-
-
 def shared_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the cluster's ``spark.checkpoint.dir``.
 

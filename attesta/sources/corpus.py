@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.session import prepare, spread
+from attesta.session import prepare
 
 # Scope derivation.
 DOMAINS = ["criminal", "contraordenacional", "contencioso_administrativo", "contencioso_judicial", "encargos_sigef"]
@@ -17,20 +17,9 @@ SOURCE_TYPES = ["document", "log", "code", "schema", "query-output"]
 EPOCH = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 
 
-# Tables with enough work per row to be worth dealing out when they are small.
-SPREAD_TABLES = {"documents", "pages", "conversations", "events", "part", "orders", "lineitem"}
-
-_OPENED: dict[tuple[str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One benchmark table; its schema and files are looked up once per application."""
-    path = f"{sf_dir}/{name}.parquet"
-    key = (prepare(spark).sparkContext.applicationId, path)
-    if key not in _OPENED or _OPENED[key].sparkSession is not spark:
-        rows = spark.read.parquet(path)
-        _OPENED[key] = spread(rows) if name in SPREAD_TABLES else rows
-    return _OPENED[key]
+    """One benchmark table; how it is split is left to the scan settings."""
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_of(*parts: Column | str) -> Column:

@@ -10,6 +10,7 @@ import csv
 import email
 import email.policy
 import io
+import codecs
 import json
 import re
 import tarfile
@@ -54,7 +55,7 @@ def _block(text: str, locator: str | None, **extra: object) -> Block:
 def plain_text(data: bytes, name: str) -> Iterator[Block]:
     if b"\0" in data[:4096]:
         raise ValueError(f"unsupported evidence file type: {PurePosixPath(name).suffix or '<none>'}")
-    data[:4096].decode("utf-8")
+    codecs.getincrementaldecoder("utf-8")().decode(data[:4096], final=len(data) <= 4096)  # a character may lie across the border
     for b in text_blocks(data.decode("utf-8", "replace"), LINE_BLOCK_CHARS, newline=0, overshoot=True):
         yield _block(b["text"], f"{name}:L{b['line_start']}-L{b['line_end']}", line_start=b["line_start"], line_end=b["line_end"])
 

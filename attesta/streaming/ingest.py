@@ -32,7 +32,6 @@ def process_batch(store: EvidenceStore, found: DataFrame, channel: str, batch: s
     parsed = cut_lineage(S.parse_jobs(S.ingestion_jobs(found, channel)))
     seen = store.read("jobs").where(F.col("batch") != batch)
     fresh = lifecycle.enqueue(seen.select("job_id"), parsed, ["source_uri"])
-    store.append("jobs", fresh.drop("content", "blocks"), batch)
     good = fresh.where(F.col("error").isNull())
     raw = good.select(
         "source_id", "source_uri", "content", "channel", "mime_type", "source_type", "source_kind", F.concat("source_type", F.lit("-parser")).alias("parser_name"),
@@ -41,6 +40,7 @@ def process_batch(store: EvidenceStore, found: DataFrame, channel: str, batch: s
     ingest(store, raw, batch, space, blocks=F.col("_blocks"))
     log = lifecycle_rows(fresh)
     store.append("lifecycle", log, batch)
+    store.append("jobs", fresh.drop("content", "blocks"), batch)  # last: a batch that broke off is taken again
     return log
 
 
