@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,9 @@ from attesta.sources import corpus
 MODES = ["lexical", "vector", "hybrid", "symbol_aware"]
 DEFAULT_K = 5
 
+WORD = r"[\p{L}\p{N}_]+"
+SHORT_BLOCK = 500
+
 BENCH_SCOPE = RetrievalFilters(principal_acl_scopes=("internal", "public"), limit=DEFAULT_K, neighbor_window=0)
 
 
@@ -36,40 +38,37 @@ def rank_lexical(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def relevance(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, source_id) pairs where the chunk text contains the query passage verbatim.
+    """(query_id, source_id) pairs where a chunk's text contains the query passage verbatim.
 
-    A passage set is compiled into one multi-pattern automaton per task, so each text is read
-    once whatever the number of passages. Larger sets are matched in slices by query id.
+    Every word of a passage but the first and the last is a whole word of a text that contains
+    it. So a passage is joined on the rarest of these, its anchor, and then compared in full.
+    Passages too short to have one are compared with all texts, in blocks.
     """
-    slices = -(-queries.count() // ranking.MAX_BROADCAST_ROWS) or 1
-    found = None
-    for part in range(slices):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == part).select("query_id", "text").collect()
-        passages = [(r.query_id, r.text) for r in rows if r.text]
-        pairs = chunks.select("source_id", F.explode(matching_passages(passages)(F.col("text"))).alias("query_id")).select("query_id", "source_id")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
-
-
-def matching_passages(passages: Sequence[tuple[str, str]]):
-    """Arrow UDF: ids of the passages contained in a text."""
-    by_text: dict[str, list[str]] = {}
-    for name, passage in passages:
-        by_text.setdefault(passage, []).append(name)
-
-    @F.arrow_udf("array<string>")
-    def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for passage, names in by_text.items():
-            automaton.add_word(passage, names)
-        automaton.make_automaton()
-        for texts in batches:
-            found = [sorted({n for _, names in automaton.iter(t) for n in names}) if t and by_text else [] for t in texts.to_pylist()]
-            yield pa.array(found, pa.list_(pa.string()))
-
-    return match
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    asked = queries.where(F.length("text") > 0).select("query_id", F.col("text").alias("passage"), words.alias("words"))
+    inner = asked.where(F.size("words") > 2).select("query_id", F.explode(F.array_distinct(F.slice("words", F.lit(2), F.size("words") - 2))).alias("word"))
+    offered = chunks.select("source_id", F.explode(F.array_distinct(words)).alias("word"))
+    often = offered.join(inner.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # a word without any occurrence makes the best anchor: it rules its passage out
+    anchors = inner.join(often, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word"))
+    meeting = offered.join(anchors, "word").select("query_id", "source_id").distinct()
+    both = meeting.join(asked.select("query_id", "passage"), "query_id").join(chunks.select("source_id", "text"), "source_id")
+    found = both.where(F.contains("text", F.col("passage"))).select("query_id", "source_id")
+    for block in short_passages(asked):
+        literal = F.array(*[F.struct(F.lit(name).alias("query_id"), F.lit(passage).alias("passage")) for name, passage in block])
+        pairs = chunks.select("source_id", F.explode(F.filter(literal, lambda q: F.contains(F.col("text"), q["passage"]))).alias("q")).select("q.query_id", "source_id")
+        found = found.unionByName(pairs)
+    return found.distinct()
+
+
+def short_passages(asked: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """Passages of at most two words, in blocks of about SHORT_BLOCK."""
+    short = asked.where(F.size("words") <= 2).select("query_id", "passage")
+    blocks = -(-short.count() // SHORT_BLOCK)
+    for part in range(blocks):
+        rows = short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).collect()
+        if rows:
+            yield [(r.query_id, r.passage) for r in rows]
 
 
 def query_metrics(ranked: DataFrame, relevant: DataFrame, k: int = DEFAULT_K, chunks: DataFrame | None = None) -> DataFrame:

@@ -131,3 +131,16 @@ def test_language_uses_last_suffix(spark):
     rows = spark.createDataFrame([("a/B.PSM1",), ("x.py.txt",), ("none",)], "t string").select(X.language(F.col("t")).alias("l")).collect()
     assert [r.l for r in rows] == ["powershell", None, None]
     assert re.fullmatch(X.IDENTIFIER_QUERY, "load_7")
+
+
+def test_redact_metadata_at_any_depth(spark):
+    tree = '{"owner":"x","auth":{"api_key":"k-1","parts":[{"password":"p-2"},"plain"]},"token":["t-3"]}'
+    meta = F.create_map(F.lit("title"), F.lit("a"), F.lit("nested"), F.lit(tree), F.lit("secret"), F.lit("s-0"), F.lit("broken"), F.lit("{no json"), F.lit("none"), F.lit(None))
+    clean, secrets = one(spark, R.redact_metadata(meta), R.sensitive_values(meta))
+    assert not any(s in str(clean) for s in ("k-1", "p-2", "t-3", "s-0")) and set(secrets) == {"k-1", "p-2", "t-3", "s-0"}
+    assert clean["title"] == "a" and clean["broken"] == "{no json" and clean["none"] is None and '"plain"' in clean["nested"] and '"owner":"x"' in clean["nested"]
+
+
+def test_texts_match_their_own_query(spark):
+    for text in ("latency 40 µs", "ﬁle", "Straße", "STRASSE ΣΊΣΥΦΟΣ", "İstanbul ŉ ǰ", "Ꭰꭰ"):
+        assert one(spark, T.lexical_score(F.lit(text), T.query_terms(text)))[0] == 1.0
