@@ -142,3 +142,17 @@ def ingest_chunks(spark, sf_dir):
     docs = corpus.table(spark, sf_dir, "documents")
     raw = docs.select(corpus.text_of("doc-", F.col("doc_id")).alias("source_id"), corpus.text_of("docs/", F.col("doc_id"), ".txt").alias("source_uri"), F.col("text").alias("content"), F.col("lang").alias("domain_id"))
     return I.chunk_rows(I.prepare_sources(raw)).select("source_id", "domain_id", "ordinal", "chunk_id", "locator")
+
+
+@query(
+    "redact_nested_metadata",
+    """SELECT event_id, replace(props, ' ', '') AS props, '{"user":' || user_id || ',"token":"[redacted]","deep":[{"password":"[redacted]"},"' || event_type || '"]}' AS auth,
+ 't' || event_id || ',p' || user_id AS secrets FROM events""",
+)
+def redact_nested_metadata(spark, sf_dir):
+    """Secrets inside JSON values of a metadata map, and the tree that is left."""
+    events = corpus.table(spark, sf_dir, "events")
+    auth = corpus.text_of('{"user":', F.col("user_id"), ',"token":"t', F.col("event_id"), '","deep":[{"password":"p', F.col("user_id"), '"},"', F.col("event_type"), '"]}')
+    meta = F.create_map(F.lit("props"), F.col("props"), F.lit("auth"), auth)
+    clean = events.select("event_id", redact.redact_metadata(meta).alias("m"), redact.sensitive_values(meta).alias("s"))
+    return clean.select("event_id", F.col("m")["props"].alias("props"), F.col("m")["auth"].alias("auth"), F.array_join("s", ",").alias("secrets"))

@@ -197,3 +197,40 @@ def metadata_merge(spark, sf_dir):
     right = F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("state"), F.lit("reviewed"), F.lit("source_uri"), F.col("url"))).otherwise(F.create_map(F.lit("source_uri"), F.col("url")))
     merged = F.map_concat(left, right)
     return pages.select("page_id", merged["title"].alias("title"), merged["source_uri"].alias("source_uri"), merged["state"].alias("state"))
+
+
+@query(
+    "embedding_upsert",
+    """SELECT vec_id, 'space-' || label % 3 AS embedding_space_id, CASE WHEN label % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS seq, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) * CASE WHEN label % 2 = 0 THEN 2 ELSE 1 END, 4) AS total FROM embeddings""",
+)
+def embedding_upsert(spark, sf_dir):
+    """Vectors saved again replace those of the same chunk and space; the others stay."""
+    rows = corpus.table(spark, sf_dir, "embeddings").select("vec_id", "label", corpus.text_of("space-", F.col("label") % 3).alias("embedding_space_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    again = rows.where("label % 2 = 0").withColumn("vector", F.transform("vector", lambda x: x * 2))
+    merged = store.upsert(rows.withColumn("seq", F.lit(1).cast("long")), again.withColumn("seq", F.lit(2).cast("long")), ["vec_id", "embedding_space_id"], "seq")
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return merged.select("vec_id", "embedding_space_id", "seq", F.round(total, 4).alias("total"))
+
+
+@query(
+    "store_replay_old_batch",
+    """WITH v AS (SELECT 'conv-' || conv_id AS source_id, sha256(text) AS content_hash, min(turn) AS first_turn FROM conversations GROUP BY ALL)
+ SELECT source_id, content_hash, row_number() OVER (PARTITION BY source_id ORDER BY first_turn) AS version_number, first_turn = max(first_turn) OVER (PARTITION BY source_id) AS latest FROM v""",
+)
+def store_replay_old_batch(spark, sf_dir):
+    """Versions after two batches and a replay of the first: numbers keep the order of arrival, the newest stays current."""
+    import uuid
+
+    from attesta.plans.ingest import ingest
+    from attesta.session import shared_checkpoint_dir
+
+    kept = store.EvidenceStore(spark, f"{shared_checkpoint_dir(spark)}/attesta-store-{uuid.uuid4().hex}")
+    turns = corpus.table(spark, sf_dir, "conversations").select(
+        corpus.text_of("conv-", F.col("conv_id")).alias("source_id"), corpus.text_of("chat/", F.col("conv_id")).alias("source_uri"), F.col("text").alias("content"),
+        F.timestamp_seconds(F.col("turn")).alias("arrival"), "turn",
+    )
+    for batch, part in (("b1", turns.where("turn < 2")), ("b2", turns.where("turn >= 2")), ("b1", turns.where("turn < 2"))):
+        ingest(kept, part.drop("turn"), batch)
+    current = kept.current("sources").select("source_id", F.col("content_hash").alias("current_hash"))
+    versions = kept.read("source_versions").select("source_id", "content_hash", F.col("version_number").cast("long").alias("version_number"))
+    return versions.join(current, "source_id").select("source_id", "content_hash", "version_number", (F.col("content_hash") == F.col("current_hash")).alias("latest"))
