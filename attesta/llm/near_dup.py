@@ -11,7 +11,9 @@ others are confirmed on their full sets.
 Equal word sequences are one node from the start. Groups never emit all their pairs: in each
 round every band key compares its members with one leader, and members already in the leader's
 component are skipped. What is left after the rounds, pairs of one key in different components,
-is compared in full, so no link is lost.
+is found without listing them all: two sets near the same leader, one of them not linked to it,
+can only be similar if they share many of their differences from it, and those are joined with a
+prefix filter (``delta_pairs``). So no link is lost.
 
 Defined results: texts without words (and null texts) have an empty set and are linked with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows and equal ids are
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from attesta.llm.common import save, texts, with_arrow_columns
@@ -37,7 +40,9 @@ FUNCTIONS = 6
 BUCKETS = 40
 MANTISSA_BITS = 10
 EMPTY = 0xFFFF
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Members at least this similar to the leader of their key are compared by their differences from it.
+NEAR = 0.1
 #: Ids of documents to be compared are broadcast up to this number, joined beyond it.
 BROADCAST_IDS = 2_000_000
 
@@ -165,6 +170,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return full.select("a", "b", shared.alias("i"), F.size("ha").alias("x"), F.size("hb").alias("y")).where(den * F.col("i") >= num * (F.col("x") + F.col("y") - F.col("i"))).select("a", "b")
 
 
+def rest_pairs(led: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (node, leader) of one key and different components that may still be similar.
+
+    ``led`` is (key, leader, node, comp). Members near their key's leader are joined on what they
+    differ in (:func:`delta_pairs`). Members far from it are paired key by key; by the triangle
+    inequality of the Jaccard distance a far member has no link to one that is not far as well.
+    """
+    of = led.select("leader", "node", "comp").distinct()
+    hashes = sets.select("node", "hashes")
+    both = of.join(hashes, "node").join(hashes.select(F.col("node").alias("leader"), F.col("hashes").alias("pivot")), "leader")
+    less, more = F.sort_array(F.array_except("pivot", "hashes")), F.sort_array(F.array_except("hashes", "pivot"))
+    told = both.select("leader", "node", "comp", F.size("pivot").alias("p"), less.alias("less"), more.alias("more")).select("*", F.size("less").alias("a"), F.size("more").alias("b"))
+    told = save(told.withColumn("sim", (F.col("p") - F.col("a")) / (F.col("p") + F.col("b"))), "deltas")
+    far = led.join(told.where(F.col("sim") <= NEAR + (1 - num / den) + 1e-9).select("leader", "node"), ["leader", "node"], "left_semi")
+    other = far.select("key", F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
+    far_pairs = far.select("key", "node", "comp").join(other, "key").where("comp < lead_comp").select("node", "leader")
+    return far_pairs.union(delta_pairs(told.where(F.col("sim") >= NEAR), num, den))
+
+
+def delta_pairs(told: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs near one pivot that may be similar although at least one is not linked to the pivot.
+
+    Let a set lack ``a`` of the pivot's ``p`` elements and have ``b`` others; these are its
+    differences. For x and y to reach the threshold, at least
+
+        need = (num (p + bx + by) - den (p - ax - ay)) / (num + den)
+
+    differences must be the same in both, which is more than none if x is not linked to the
+    pivot. That is an overlap join on small sets, so a prefix filter applies: the common
+    differences stand early enough in both lists, which go from rare to frequent.
+    """
+    alone = -F.floor(-(num * (F.col("p") + F.col("b")) - den * (F.col("p") - F.col("a"))) / F.lit(num + den))  # need with a y without differences
+    kept = told.withColumns({"linked": den * (F.col("p") - F.col("a")) >= num * (F.col("p") + F.col("b")), "n": F.col("a") + F.col("b")})
+    each = kept.select("leader", "node", "comp", "p", "a", "b", "n", "linked", F.greatest(alone, F.lit(1)).alias("least"), F.explode(F.concat("more", "less")).alias("difference"))
+    each = save(each, "differences")
+    counts = each.groupBy("leader", "difference").agg(F.count(F.lit(1)).alias("often"))
+    rarest = Window.partitionBy("leader", "node").orderBy(F.coalesce("often", F.lit(1)), "difference")  # over the differences of one set
+    listed = each.join(counts.where("often > 1"), ["leader", "difference"], "left").withColumn("pos", F.row_number().over(rarest) - 1)
+    listed = save(listed.where(F.col("often").isNotNull() & (F.col("pos") <= F.col("n") - F.col("least"))).drop("least", "often"), "prefixes")  # a difference of one set meets nothing
+    x = listed.where("not linked")
+    y = listed.select("leader", "difference", *[F.col(c).alias(f"{c}_y") for c in ("node", "comp", "a", "b", "n", "linked", "pos")])
+    need = -F.floor(-(num * (F.col("p") + F.col("b") + F.col("b_y")) - den * (F.col("p") - F.col("a") - F.col("a_y"))) / F.lit(num + den))
+    met = (F.col("comp") != F.col("comp_y")) & (F.col("linked_y") | (F.col("node") < F.col("node_y"))) & (F.col("pos") <= F.col("n") - need) & (F.col("pos_y") <= F.col("n_y") - need)
+    on = (F.col("l.leader") == F.col("r.leader")) & (F.col("l.difference") == F.col("r.difference"))
+    return x.alias("l").join(y.alias("r"), on & met).select("node", F.col("node_y").alias("leader")).distinct()
+
+
 def linked(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> DataFrame | None:
     """(node, comp) of the nodes with links; ``nodes`` is (node, doc_id, regs), one row each."""
     empty = bytes([0xFF] * (2 * FUNCTIONS))
@@ -179,14 +231,12 @@ def linked(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int) ->
     links, labels = None, None
     for turn in range(LEADER_ROUNDS + 1):
         placed = multi.withColumn("comp", F.col("node")) if labels is None else multi.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        leaders = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(min(turn, LEADER_ROUNDS - 1))).alias("p"), F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))).alias("x"), (F.min("comp") != F.max("comp")).alias("mixed"))
+        led = placed.join(leaders.where("mixed").select("key", "x.leader", "x.lead_comp"), "key")
         if turn < LEADER_ROUNDS:
-            leaders = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))).alias("x"), (F.min("comp") != F.max("comp")).alias("mixed"))
-            pairs = placed.join(leaders.where("mixed").select("key", "x.leader", "x.lead_comp"), "key").where("comp <> lead_comp").select("node", "leader")
+            pairs = led.where("comp <> lead_comp").select("node", "leader")
         else:
-            mixed = placed.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("key")
-            left = placed.join(mixed, "key")
-            right = left.select("key", F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
-            pairs = left.join(right, "key").where("comp < lead_comp").select("node", "leader")
+            pairs = rest_pairs(save(led.select("key", "leader", "node", "comp"), "mixed"), sets, num, den)
         fresh = save(confirmed(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), sets, num, den), "links")
         if fresh.isEmpty():
             continue
