@@ -58,6 +58,16 @@ def splitlines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def csv_cells(line: Column) -> Column:
+    """Trimmed cells of one CSV line; a quoted cell may hold commas and doubled quotes."""
+    cells = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'(\s*"(?:[^"]|"")*"\s*|[^,]*),'), F.lit(1))
+
+    def bare(cell: Column) -> Column:
+        return F.when(cell.rlike(r'^"(?:[^"]|"")*"$'), F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))).otherwise(cell)
+
+    return F.transform(F.transform(cells, strip), bare)
+
+
 def first_line(text: Column) -> Column:
     return strip(F.split(text, LINE_BREAK, 2)[0])
 

@@ -162,7 +162,7 @@ def analyze_exports(hits: DataFrame, request: AuditRequest) -> DataFrame:
     """Row count, columns, time range and identifiers of every log-search export."""
     lines = F.filter(T.splitlines(T.strip(F.col("text"))), lambda ln: T.strip(ln) != "")
     rows = _of(hits, ["splunk-csv"]).withColumn("lines", lines).withColumns(
-        {"header": F.transform(F.split(F.get("lines", F.lit(0)), ","), T.strip), "body": F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))}
+        {"header": T.csv_cells(F.get("lines", F.lit(0))), "body": F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))}
     )
     cids = F.array_sort(F.array_distinct(F.flatten(F.transform("body", lambda ln: extract.correlation_ids(F.replace(ln, F.lit(","), F.lit(" ")))))))
     with_time = rows.withColumns({"cids": cids, "ts": extract.timestamps(F.array_join("body", " "))})

@@ -144,3 +144,8 @@ def test_redact_metadata_at_any_depth(spark):
 def test_texts_match_their_own_query(spark):
     for text in ("latency 40 µs", "ﬁle", "Straße", "STRASSE ΣΊΣΥΦΟΣ", "İstanbul ŉ ǰ", "Ꭰꭰ"):
         assert one(spark, T.lexical_score(F.lit(text), T.query_terms(text)))[0] == 1.0
+
+
+def test_csv_cells(spark):
+    cells = one(spark, T.csv_cells(F.col("t")), text='_time, "host, name" ,"say ""hi""",,last')[0]
+    assert cells == ["_time", "host, name", 'say "hi"', "", "last"]
