@@ -40,7 +40,7 @@ CACHE_DOCS = 6000
 CACHE_PIECES = 65_536
 CACHE_PIECE_CHARS = 48
 #: Further pieces that a worker process remembers before it starts anew.
-HELD_PIECES = 1_000_000
+HELD_PIECES = 200_000
 
 NO_RANK = 1 << 30
 
@@ -229,23 +229,39 @@ def merge_bytes(piece: bytes, tokens: dict[bytes, int]) -> list[int]:
     return out
 
 
-def encode(docs: DataFrame, ranks: Ranks, cache_docs: int = CACHE_DOCS, cache_pieces: int = CACHE_PIECES) -> DataFrame:
-    """All columns of ``docs`` plus ids (array<int>)."""
+def encode(docs: DataFrame, ranks: Ranks, cache_docs: int = CACHE_DOCS, cache_pieces: int = CACHE_PIECES, back: bool = False) -> DataFrame:
+    """All columns of ``docs`` plus ids (array<int>).
+
+    With ``back`` also what ``decode`` makes of the ids, in the same pass: a second one in the same
+    stage would double the Python workers of an executor, and their tables.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((frequent_pieces(docs, ranks, cache_docs, cache_pieces), ranks.tokens))
     pattern = ranks.pattern
 
     def make():
         find, pieces = regex.compile(pattern).findall, held_pieces(shared)
+        bytes_of = {rank: token for token, rank in pieces.tokens.items()} if back else {}
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             coded = [b"".join([pieces[p] for p in find(text)]) if text else b"" for text in texts(batch)]
             offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))]
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            return [ids, *decoded_columns(ids, bytes_of.__getitem__)] if back else [ids]
 
         return compute
 
-    return with_arrow_columns(docs, [T.StructField("ids", T.ArrayType(T.IntegerType()))], make)
+    return with_arrow_columns(docs, [T.StructField("ids", T.ArrayType(T.IntegerType())), *(DECODED if back else [])], make)
+
+
+DECODED = [T.StructField("decoded", T.BinaryType()), T.StructField("packed", T.BinaryType())]
+
+
+def decoded_columns(ids: pa.ListArray, piece: Callable[[int], bytes]) -> list[pa.Array]:
+    """The joined bytes of each id list, and its ids as little-endian 32-bit integers."""
+    flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    each = [flat[a:b] for a, b in zip(offsets, offsets[1:])]
+    return [pa.array([b"".join(map(piece, x.tolist())) for x in each], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in each], pa.binary())]
 
 
 _HELD: dict[str, Pieces] = {}
@@ -265,13 +281,6 @@ def decode(rows: DataFrame, ranks: Ranks) -> DataFrame:
 
     def make():
         piece = shared.value.__getitem__
+        return lambda batch: decoded_columns(batch.column(batch.schema.get_field_index("ids")), piece)
 
-        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            each = [flat[a:b] for a, b in zip(offsets, offsets[1:])]
-            return [pa.array([b"".join(map(piece, x.tolist())) for x in each], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in each], pa.binary())]
-
-        return compute
-
-    return with_arrow_columns(rows, [T.StructField("decoded", T.BinaryType()), T.StructField("packed", T.BinaryType())], make)
+    return with_arrow_columns(rows, DECODED, make)

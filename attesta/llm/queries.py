@@ -71,7 +71,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = ranks()
-    rows = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    rows = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, back=True)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -29,6 +29,8 @@ def test_round_trip_and_ids(spark, odd_docs, no_docs, ranks, library):
     for r in rows:
         assert list(r["ids"]) == library.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    once = bpe.encode(docs, ranks, cache_docs=50, cache_pieces=500, back=True).collect()
+    assert sorted(map(str, once)) == sorted(map(str, rows))
     assert bpe.encode(no_docs.drop("ids"), ranks, cache_docs=5, cache_pieces=5).count() == 0
 
 
