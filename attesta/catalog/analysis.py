@@ -167,6 +167,50 @@ def audit_cross_source(spark, sf_dir):
     return derived.select("classification", "statement", "confidence", F.array_join("provenance", ",").alias("provenance"))
 
 
+#: The same with integration pages: no source type is left out.
+_WHOLE = (
+    _ALL.replace(" AND source_type <> 'integration'", "")
+    .replace(f", {_POINTS}", f", {_INT_FINDINGS}, {_POINTS}")
+    .replace("SELECT * FROM df)", "SELECT * FROM df UNION ALL SELECT * FROM nf)")
+)
+
+
+def _whole(spark, sf_dir):
+    return A.materialized_hits(corpus.evidence(spark, sf_dir), REQUEST)
+
+
+@query("audit_whole_finding_counts", f"WITH {_WHOLE} SELECT classification, count(*) AS n FROM everything GROUP BY classification")
+def audit_whole_finding_counts(spark, sf_dir):
+    return A.class_counts(A.findings(_whole(spark, sf_dir), REQUEST))
+
+
+@query(
+    "audit_whole_summary",
+    f"""WITH {_WHOLE} SELECT 'Audit scope ''orders'' produced ' || count(*) FILTER (classification = 'fact') || ' fact finding(s), ' || count(*) FILTER (classification = 'hypothesis') || ' hypothesis finding(s), and '
+  || count(*) FILTER (classification = 'missing_evidence') || ' missing-evidence finding(s).' AS summary FROM everything""",
+)
+def audit_whole_summary(spark, sf_dir):
+    found = A.findings(_whole(spark, sf_dir), REQUEST)
+    return found.agg(A.executive_summary(found, REQUEST).alias("summary"))
+
+
+@query(
+    "audit_whole_cross_source",
+    f"""WITH {_WHOLE}, code_fact AS (SELECT 'Source code evidence matches the runtime stack frame(s) ' || string_agg(DISTINCT raw, ', ' ORDER BY raw) || '.' AS statement, string_agg(DISTINCT locator, ',' ORDER BY locator) AS provenance, string_agg(DISTINCT locator, ', ' ORDER BY locator) AS named FROM frames HAVING count(*) > 0),
+ log_fact AS (SELECT string_agg(DISTINCT locator, ',' ORDER BY locator) AS provenance FROM logs WHERE bad HAVING count(*) > 0),
+ schema_fact AS (SELECT string_agg(DISTINCT locator, ',' ORDER BY locator) AS provenance, string_agg(DISTINCT locator, ', ' ORDER BY locator) AS named FROM hits WHERE source_type = 'schema' HAVING count(*) > 0)
+ SELECT 'fact' AS classification, statement, 0.96::DOUBLE AS confidence, provenance FROM code_fact
+ UNION ALL SELECT 'hypothesis', 'The runtime failure appears to originate in ' || c.named || '.' || coalesce(' The schema evidence suggests it surfaces where records of ' || s.named || ' are expected.', ''), 0.74, concat_ws(',', l.provenance, c.provenance, s.provenance)
+  FROM code_fact c CROSS JOIN log_fact l LEFT JOIN schema_fact s ON true
+ UNION ALL SELECT 'recommendation', '{A.RECOMMENDATION}', 0.91, (SELECT replace(replace(statement, 'Query output at ', ''), ' does not provide sufficient live data to confirm the database state.', '') FROM qf WHERE classification = 'missing_evidence' ORDER BY statement LIMIT 1)
+  FROM qf WHERE classification = 'missing_evidence' HAVING count(*) > 0""",
+)
+def audit_whole_cross_source(spark, sf_dir):
+    hits = _whole(spark, sf_dir)
+    derived = A.cross_source_findings(A.observations(hits, REQUEST), hits, REQUEST)
+    return derived.select("classification", "statement", "confidence", F.array_join("provenance", ",").alias("provenance"))
+
+
 @query(
     "audit_causal_chains",
     f"""WITH {_HITS}, {_POINTS} SELECT 'Timeline anchors are ' || string_agg(source_id || ':' || locator, ' -> ' ORDER BY ts, source_id, locator) AS chain FROM (SELECT * FROM points ORDER BY ts, source_id, locator LIMIT 4)""",
