@@ -172,16 +172,24 @@ def match_strengths(symbols_: DataFrame, query: str) -> DataFrame:
     return counted.withColumn("best_position", F.coalesce(F.sum("symbols").over(stronger), F.lit(0).cast("long")) + 1)
 
 
-def place_symbols(symbols_: DataFrame, query: str, limit: int) -> DataFrame:
-    """The ``limit`` best symbols by (match, name, line), all descending, with their position.
+def rank_symbols(symbols_: DataFrame, query: str, limit: int) -> DataFrame:
+    """The ``limit`` best chunks of a symbol-aware ranking: a chunk scores 1 / position of its first symbol.
 
-    All found symbols are ranked before the limit; only what it leaves is numbered.
+    All found symbols are ranked by (match, name, line), all descending, and collapsed to chunks
+    before the limit; the positions of the chunks it leaves follow from counts.
     """
-    order = [F.desc("match"), F.lower("name").desc(), F.desc("line_start"), F.asc("source_version_id")]
-    best = matched_symbols(symbols_, query).orderBy(*order).limit(max(1, int(limit)))
-    return best.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
-
-
-def rank_symbols(symbols_: DataFrame, query: str, limit: int) -> DataFrame:
-    """Symbol-aware ranking: a chunk scores 1 / position of its first symbol."""
-    return place_symbols(symbols_, query, limit).groupBy("chunk_id").agg((F.lit(1.0) / F.min("position")).alias("score"))
+    keys = ["match", "folded", "line_start", "source_version_id", "chunk_id"]
+    order = [F.desc("match"), F.desc("folded"), F.desc("line_start"), F.asc("source_version_id"), F.asc("chunk_id")]
+    found = matched_symbols(symbols_, query).select("match", F.lower("name").alias("folded"), "line_start", "source_version_id", "chunk_id")
+    first = found.where("chunk_id is not null").withColumn("nth", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*order))).where("nth = 1").drop("nth")
+    best = first.orderBy(*order).limit(max(1, int(limit))).select(F.struct(*keys).alias("best"))
+    ahead, level = F.lit(False), F.lit(True)
+    for k in keys:
+        own = F.col(f"best.{k}")
+        better = F.coalesce(F.col(k) > own, own.isNull() & F.col(k).isNotNull())  # nulls come last in a descending order
+        if k in ("source_version_id", "chunk_id"):
+            better = F.coalesce(F.col(k) < own, F.col(k).isNull() & own.isNotNull())  # and first in an ascending one
+        ahead = ahead | (level & F.coalesce(better, F.lit(False)))
+        level = level & F.col(k).eqNullSafe(own)
+    placed = found.crossJoin(F.broadcast(best)).groupBy("best").agg(F.count_if(ahead).alias("before"))  # a best symbol is itself among the found
+    return placed.select(F.col("best.chunk_id").alias("chunk_id"), (F.lit(1.0) / (F.col("before") + 1)).alias("score"))
