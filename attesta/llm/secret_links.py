@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,24 +56,32 @@ def strong_spans(text: str) -> list[Span]:
 
 
 class Places:
-    """Disjoint spans of some kinds; tells whether one lies within reach in the same scope."""
+    """Spans of some kinds, which may overlap; tells whether one lies within reach in the same scope."""
 
     def __init__(self, spans: list[Span], breaks: list[int]):
         self.spans = sorted((s, e) for _, s, e in spans)
         self.starts = [s for s, _ in self.spans]
+        self.furthest = list(accumulate((e for _, e in self.spans), max))  # the last end up to each span
         self.breaks = breaks
 
-    def near(self, start: int, end: int, reach: int) -> bool:
+    def around(self, start: int, end: int, reach: int) -> Iterator[tuple[int, int]]:
+        """The first span after, and all that start before ``end`` and are within reach."""
         at = bisect_left(self.starts, end)
-        for s, e in self.spans[max(0, at - 3) : at + 1]:  # the nearest before (which may overlap each other) and after
+        yield from self.spans[at : at + 1]
+        for i in range(at - 1, -1, -1):
+            if start - self.furthest[i] > reach:
+                return
+            yield self.spans[i]
+
+    def near(self, start: int, end: int, reach: int) -> bool:
+        for s, e in self.around(start, end, reach):
             gap = max(s - end, start - e)
             if gap <= reach and bisect_left(self.breaks, min(end, e)) == bisect_left(self.breaks, max(start, s)):
                 return True
         return False
 
     def overlaps(self, start: int, end: int) -> bool:
-        at = bisect_left(self.starts, end)
-        return any(s < end and start < e for s, e in self.spans[max(0, at - 3) : at + 1])
+        return any(s < end and start < e for s, e in self.around(start, end, 0))
 
 
 def linked_spans(text: str, strong: list[Span], reach: int = REACH) -> list[Span]:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -71,6 +72,22 @@ def test_weak_parts_need_each_other():
     assert kinds("user=anna" + " x" * 200 + random) == []  # out of reach
 
 
+def test_places_look_past_any_number_of_spans():
+    rng = random.Random(4)
+    for _ in range(300):
+        starts = [rng.randrange(80) for _ in range(rng.randint(1, 9))]
+        spans = [("x", s, s + rng.choice([2, 5, 60])) for s in starts]
+        places = secret_links.Places(spans, [])
+        for start in range(0, 150, 7):
+            end, reach = start + 4, rng.choice([0, 3, 20])
+            assert places.overlaps(start, end) == any(s < end and start < e for _, s, e in spans)
+            assert places.near(start, end, reach) == any(max(s - end, start - e) <= reach for _, s, e in spans)
+    runs = ".".join("0123456789abcdef0123456789abcdef" for _ in range(4))
+    text = f"token={runs}" + "Z" * 400 + " user=anna"
+    strong = [("assign", 0, text.index(" user"))] + [("hex", 6 + 33 * i, 38 + 33 * i) for i in range(4)]
+    assert "identifier" in [k for k, _, _ in secret_links.linked_spans(text, strong)]
+
+
 def test_secret_edge_rows(odd_docs, no_docs):
     got = secret_links.find_secrets(odd_docs)
     assert got.count() == odd_docs.count() and got.where("size(strong) + size(linked) > 0").count() == 0
