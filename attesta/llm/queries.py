@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, decontamination, language, line_dedup, near_dup, quality_model, quality_rules, secret_links, sharding
+from attesta.llm import bpe, chat, decontamination, language, line_dedup, near_dup, quality_model, quality_rules, secret_links, sharding, va_clusters
 from attesta.llm.common import held_out, read_table
 
 QUERIES = {}
@@ -177,3 +177,38 @@ from v
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _rounds(n: int) -> str:
+    """The rounds of centroid clustering: distances, nearest centroid, floors of the means."""
+    out = ""
+    for i in range(n + 1):
+        out += f""",
+d{i} as (select r, n, list_sum(list_transform(list_zip(kept.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from kept, c{i}),
+a{i} as (select r, min(row(d, n)) as best from d{i} group by r)"""
+        if i < n:
+            out += f""",
+s{i} as (select best[2] as n, j, sum(v[j]) as s, count(*) as m from a{i} join kept using (r), range(1, 65) t(j) group by all),
+c{i + 1} as (
+  select n, list(coalesce((s - ((s % m) + m) % m) // m, c{i}.v[j]) order by j) as v
+  from c{i} cross join range(1, 65) t(j) left join s{i} using (n, j) group by n)"""
+    return out
+
+
+VA_CLUSTERS_SQL = f"""
+with kept as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+c0 as (
+  select row_number() over (order by sha256('1:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as n, v from kept qualify n < 16){_rounds(3)},
+out_ as (select vec_id, cast(best[2] as int) as cluster, cast(best[1] as bigint) as distance from a3 join kept using (r))
+select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia,
+  sha256(array_to_string(c3.v, ',')) as centroid_sha256
+from out_ join c3 on c3.n = out_.cluster
+"""
+
+
+@query("op11_centroid_clustering", VA_CLUSTERS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return va_clusters.report(va_clusters.cluster(vectors), vectors)
