@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, decontamination, language, line_dedup, near_dup, quality_model, quality_rules, secret_links, sharding, va_clusters
+from attesta.llm import bpe, chat, decontamination, divergence, language, line_dedup, near_dup, quality_model, quality_rules, secret_links, sharding, va_clusters
 from attesta.llm.common import held_out, read_table
 
 QUERIES = {}
@@ -212,3 +212,33 @@ from out_ join c3 on c3.n = out_.cluster
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return va_clusters.report(va_clusters.cluster(vectors), vectors)
+
+
+DIVERGENCE_SQL = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+k as (select lang, term from t group by all having count(distinct r) >= 30),
+v as (select lang, count(*) as v from k group by lang),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from t group by all),
+gt as (select g.lang, source, k.term, coalesce(n, 0) as n, v from g join k using (lang) join v using (lang) left join c using (lang, source, term)),
+pq as (
+  select lang, source, term, n,
+    1 + (1000000000::hugeint * (n + 5)) // (sum(n) over (partition by lang, source) + 5 * v) as p,
+    1 + (1000000000::hugeint * (sum(n) over (partition by lang, term) + 5)) // (sum(n) over (partition by lang) + 5 * v) as q
+  from gt),
+sums as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from pq a join pq b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join sums on sums.lang = a.lang and sums.source = a.source and sums.item = b.source),
+rows_ as (
+  select lang, source, 'pair' as part, item, value from pairs
+  union all select lang, source, 'term', term, p - q from pq where n > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+from rows_ qualify part = 'pair' or rank <= 50
+"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
