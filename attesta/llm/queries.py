@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, decontamination, divergence, language, line_dedup, near_dup, quality_model, quality_rules, secret_links, sharding, va_clusters
+from attesta.llm import bpe, chat, decontamination, divergence, language, line_dedup, near_dup, quality_model, quality_rules, secret_links, sharding, toxicity, va_clusters
 from attesta.llm.common import held_out, read_table
 
 QUERIES = {}
@@ -242,3 +242,10 @@ from rows_ qualify part = 'pair' or rank <= 50
 @query("op12_source_divergence", DIVERGENCE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
