@@ -7,7 +7,7 @@ ASCII in Java), so the token classes are spelled with Unicode categories.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cache
 
 from pyspark.sql import Column
@@ -48,8 +48,9 @@ def casefold(text: Column) -> Column:
     folded = F.translate(text, "".join(single), "".join(single.values()))
     for raw, plain in several.items():
         folded = F.replace(folded, F.lit(raw), F.lit(plain))
-    special = "[" + "".join(sorted({*single, *several})) + "]"
-    return F.lower(F.when(F.rlike(text, F.lit(special)), folded).otherwise(text))
+    # one table look-up a character; a class of some 300 characters would be tested one after the other
+    plain = F.translate(text, "".join([*single, *several]), "") == text
+    return F.lower(F.when(plain, text).otherwise(folded))
 
 
 def splitlines(text: Column) -> Column:
@@ -78,8 +79,14 @@ def _term_list(text: Column) -> Column:
     The tokens are joined before folding so that the case mapping runs once per text instead
     of once per token.
     """
-    joined = casefold(F.array_join(F.regexp_extract_all(text, F.lit(LEXICAL_TOKEN), F.lit(0)), "\n"))
-    return F.array_remove(F.concat(F.split(joined, "\n"), F.split(joined, LEXICAL_COMPONENT)), "")
+    joined = F.array_join(F.regexp_extract_all(text, F.lit(LEXICAL_TOKEN), F.lit(0)), "\n")
+    parts = bound(bound(joined, casefold), lambda folded: F.concat(F.split(folded, "\n"), F.split(folded, LEXICAL_COMPONENT)))
+    return F.array_remove(parts, "")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lexical_terms(text: Column) -> Column:
