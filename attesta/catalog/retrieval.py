@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attesta.catalog import query
@@ -13,6 +14,7 @@ from attesta.operators import packaging, ranking
 from attesta.operators.filters import RetrievalFilters
 from attesta.plans import benchmark as B
 from attesta.plans import retrieval as P
+from attesta.session import cut_lineage
 from attesta.sources import corpus
 
 QUESTION = "the that/with onthe_eren Straße de la, tion"
@@ -249,7 +251,8 @@ def mean_vectors(rows):
 def bench_rank_vector(spark, sf_dir):
     """Every vector of the table against the mean vector of each label, in one pass."""
     rows = corpus.table(spark, sf_dir, "embeddings")
-    asked = [ranking.Query(str(r.label), vector=r.q) for r in ranking.bounded_rows(mean_vectors(rows))]
+    means = mean_vectors(rows).withColumn("query_id", F.col("label").cast("string"))
+    asked = (ranking.Query(r.query_id, vector=r.q) for block in ranking.query_blocks(means) for r in block)
     base = rows.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("ordinal"), "embedding")
     ranked = ranking.rank_many(base, asked, 5, vector="embedding")
     return ranked.select(F.col("query_id").cast("long").alias("query_id"), F.col("ordinal").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
@@ -268,9 +271,11 @@ _HYBRID_BENCH = f"""{_CENTROIDS.split('scored AS')[0].rstrip().rstrip(',')}, {S.
 def bench_rank_hybrid(spark, sf_dir):
     """Every embedded document against every benchmark text paired with a label's mean vector."""
     rows = corpus.table(spark, sf_dir, "embeddings")
-    centroids = {r.label: r.q for r in ranking.bounded_rows(mean_vectors(rows))}
-    labels = sorted(centroids)
-    asked = [ranking.Query(r.query_id, r.text, centroids[labels[int(r.query_id) % len(labels)]]) for r in ranking.bounded_rows(B.benchmark_queries(spark, sf_dir))]
+    means = cut_lineage(mean_vectors(rows))
+    numbers = means.select("q", (F.row_number().over(Window.orderBy("label")) - 1).alias("number"))
+    of_query = F.pmod(F.col("query_id").cast("long"), F.lit(means.count())).cast("int").alias("number")
+    queries = B.benchmark_queries(spark, sf_dir).select("query_id", "text", of_query).join(numbers, "number")
+    asked = (ranking.Query(r.query_id, r.text, r.q) for block in ranking.query_blocks(queries) for r in block)
     vectors = rows.select(corpus.text_of("doc-", F.col("vec_id")).alias("chunk_id"), "embedding")
     embedded = B.scoped_documents(spark, sf_dir).join(vectors, "chunk_id")
     ranked = ranking.rank_many(embedded, asked, 5, text="text", vector="embedding")

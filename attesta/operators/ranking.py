@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as T
 from attesta.functions.vectors import norms, rows_of
+from attesta.session import cut_lineage
 
 # Scoring weights, neighbour discount, context budget.
 SEMANTIC_WEIGHT = 0.75
@@ -152,12 +153,6 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def bounded_rows(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> list | None:
-    """Rows of a small table, or None when it has more than ``limit`` rows."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 RANK_SCHEMA = "query_id string, chunk_id string, ordinal long, lexical double, semantic double, score double"
 _RANK_ARROW = pa.schema(
     [("query_id", pa.string()), ("chunk_id", pa.string()), ("ordinal", pa.int64()), ("lexical", pa.float64()), ("semantic", pa.float64()), ("score", pa.float64())]
@@ -287,24 +282,85 @@ def _rank_slice(corpus: DataFrame, queries: list[Query], k: int, text: str | Non
     return corpus.select(*columns).mapInArrow(rank, RANK_SCHEMA)
 
 
+#: Rarest terms of a query whose postings are read first; each later round reads four times as many.
+FIRST_TERMS = 4
+
+
 def rank_many_by_term(corpus: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """Lexical top-k for a query table of any size (``query_id, text``).
+    """Lexical top-k for a query table of any size (``query_id, text``): exact, rarest terms first.
+
+    A query's terms are ordered by the number of chunks that hold them. The chunks of its first
+    terms are candidates and are scored on their whole term sets. Once k candidates share ``m``
+    terms or more, a chunk can only reach them if it shares ``m`` terms too, and then it holds one
+    of the ``live - m + 1`` rarest; so later postings are not read. Rounds multiply the number of
+    terms by four until every query has read that far. Frequent terms are read only by queries for which
+    nothing rarer settles the order.
 
-    Postings of both sides meet on the term (adaptive execution splits frequent terms), the
-    shared terms are counted per query and chunk, and each task keeps k chunks per query. A
-    query with fewer than k matching chunks is filled with zero-score chunks in tie-break
+    A query with fewer than k matching chunks is filled with zero-score chunks in tie-break
     order; at most k - 1 of those can be matches already, so the first 2k - 1 chunks suffice.
     """
-    asked = queries.select("query_id", T.lexical_terms(F.col("text")).alias("terms"))
-    wanted = asked.select("query_id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-    offered = corpus.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"), F.explode(T.lexical_terms(F.col(text))).alias("term"))
-    shared = offered.join(wanted, "term").groupBy("query_id", "chunk_id", "ordinal", "size").agg(F.count(F.lit(1)).alias("shared"))
-    scored = shared.select("query_id", "chunk_id", "ordinal", (F.col("shared") / F.col("size")).alias("score"))
-    matched = top_k_per(scored, ["query_id"], k).drop("rank")
-    first = corpus.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal")).orderBy("ordinal", "chunk_id").limit(2 * k - 1).collect()
+    terms = F.col("terms") if "terms" in corpus.columns else T.lexical_terms(F.col(text))
+    chunks = corpus.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"), terms.alias("terms"))
+    asked_terms = queries.select("query_id", T.lexical_terms(F.col("text")).alias("terms"))
+    vocabulary = cut_lineage(asked_terms.select(F.explode("terms").alias("term")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    wanted = asked_terms.select("query_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).join(vocabulary, "term").drop("term")
+    # texts go no further: from here on a term is a number, and terms that nobody asks for are gone
+    postings = cut_lineage(chunks.select("chunk_id", "ordinal", F.explode("terms").alias("term")).join(vocabulary, "term").drop("term"))
+    held = cut_lineage(postings.groupBy("chunk_id", "ordinal").agg(F.collect_list("id").alias("ids")))
+    asked = cut_lineage(wanted.groupBy("query_id", "size").agg(F.collect_list("id").alias("asked")))
+    ordered = cut_lineage(rarest_first(postings, wanted))
+    needed, scored, first, last = ordered.groupBy("query_id").agg(F.first("live").alias("needed")), None, 0, FIRST_TERMS
+    while True:
+        upto = F.least(F.col("needed"), F.lit(last))
+        reading = ordered.join(needed, "query_id").where((F.col("position") > first) & (F.col("position") <= upto)).select("query_id", "id")
+        if scored is not None and reading.isEmpty():
+            break
+        found = score_candidates(postings, held, asked, reading)
+        found = found if scored is None else scored.unionByName(found).distinct()
+        scored = cut_lineage(top_k_per(found, ["query_id"], k).drop("rank"))  # k rows of each query go on
+        needed, first, last = reach(scored, ordered, k), last, 4 * last
+    return top_k_per(filled(chunks, queries, scored, k), ["query_id"], k)
+
+
+def rarest_first(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, id, position, live) for the terms of a query that some chunk holds."""
+    often = postings.groupBy("id").agg(F.count(F.lit(1)).alias("chunks"))
+    of_query = Window.partitionBy("query_id")
+    rows = wanted.join(often, "id").withColumn("position", F.row_number().over(of_query.orderBy("chunks", "id")))
+    return rows.select("query_id", "id", "position", F.count(F.lit(1)).over(of_query).alias("live"))
+
+
+def reach(scored: DataFrame, ordered: DataFrame, k: int) -> DataFrame:
+    """(query_id, needed): the position up to which postings can still hold one of the best k chunks."""
+    least = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("shared").alias("least"))
+    live = ordered.groupBy("query_id").agg(F.first("live").alias("live"))
+    enough = F.when(F.col("found") >= k, F.col("least")).otherwise(F.lit(1))
+    return live.join(least, "query_id", "left").select("query_id", (F.col("live") - F.coalesce(enough, F.lit(1)) + 1).alias("needed"))
+
+
+def score_candidates(postings: DataFrame, held: DataFrame, asked: DataFrame, reading: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, ordinal, shared, score) of the chunks that hold a term that is read now."""
+    pairs = postings.join(reading, "id").select("query_id", "chunk_id").distinct()
+    both = pairs.join(asked, "query_id").join(held, "chunk_id")
+    return both.select("query_id", "chunk_id", "ordinal", F.size(F.array_intersect("asked", "ids")).alias("shared"), "size").withColumn("score", F.col("shared") / F.col("size")).drop("size")
+
+
+def filled(chunks: DataFrame, queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """The scored rows, and zero-score chunks for queries with fewer than k of them."""
+    matched = scored.select("query_id", "chunk_id", "ordinal", "score")
+    first = chunks.select("chunk_id", "ordinal").orderBy("ordinal", "chunk_id").limit(2 * k - 1).collect()
     if not first:
-        return top_k_per(matched, ["query_id"], k)
-    short = queries.select("query_id").join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
+        return matched
     spare = F.inline(F.array(*[F.struct(F.lit(r.chunk_id).alias("chunk_id"), F.lit(r.ordinal).cast("long").alias("ordinal"), F.lit(0.0).alias("score")) for r in first]))
+    short = queries.select("query_id").join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
     filler = short.select("query_id", spare).join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    return top_k_per(matched.unionByName(filler), ["query_id"], k)
+    return matched.unionByName(filler)
+
+
+def query_blocks(queries: DataFrame, size: int = QUERY_SLICE) -> Iterator[list]:
+    """The rows of a query table (``query_id`` and more) in hash blocks of about ``size``, one at a time."""
+    blocks = max(1, -(-queries.count() // size))
+    for part in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).collect()
+        if rows:
+            yield rows

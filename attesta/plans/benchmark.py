@@ -30,11 +30,8 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_lexical(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Top-k per query: in one pass for a bounded query set, by term postings beyond it."""
-    rows = ranking.bounded_rows(queries.select("query_id", "text"))
-    if rows is None:
-        return ranking.rank_many_by_term(chunks, queries, k)
-    return ranking.rank_many(chunks, [ranking.Query(r.query_id, r.text) for r in rows], k, text="text")
+    """Top-k per query by term postings, rarest terms first, for any number of queries."""
+    return ranking.rank_many_by_term(chunks, queries, k)
 
 
 def relevance(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -121,20 +118,25 @@ def run(
     from attesta.functions.vectors import hash_vector
     from attesta.operators.code_index import rank_symbols
 
-    rows = ranking.bounded_rows(queries)
-    if rows is None:
-        raise ValueError(f"more than {ranking.MAX_BROADCAST_ROWS} benchmark queries: run them in parts")
     dimension = int(space.split(":")[-2])
     allowed = chunks.where(compile_filters(filters)).select("chunk_id", "source_id", "ordinal", "text")
     vectors = embeddings.where(F.col("embedding_space_id") == space).select("chunk_id", "vector")
     embedded = allowed.join(vectors, "chunk_id")
-    asked = lambda mode: [ranking.Query(r.query_id, r.text, hash_vector(r.text, dimension)) for r in rows if mode in r.modes]
+
+    def asked(mode: str) -> DataFrame:
+        return queries.where(F.array_contains("modes", mode)).select("query_id", "text")
+
+    def with_vectors(mode: str) -> Iterator[ranking.Query]:
+        for rows in ranking.query_blocks(asked(mode)):
+            yield from (ranking.Query(r.query_id, r.text, hash_vector(r.text, dimension)) for r in rows)
+
+    lexical = rank_lexical(allowed, asked("lexical"), k).select("query_id", "chunk_id", "ordinal", F.col("score").alias("lexical"), F.lit(0.0).alias("semantic"), "score", "rank")
     parts = [
-        ranking.rank_many(allowed, asked("lexical"), k, text="text").withColumn("mode", F.lit("lexical")),
-        ranking.rank_many(embedded, asked("vector"), k, vector="vector").withColumn("mode", F.lit("vector")),
-        ranking.rank_many(embedded, asked("hybrid"), k, text="text", vector="vector").withColumn("mode", F.lit("hybrid")),
+        lexical.withColumn("mode", F.lit("lexical")),
+        ranking.rank_many(embedded, with_vectors("vector"), k, vector="vector").withColumn("mode", F.lit("vector")),
+        ranking.rank_many(embedded, with_vectors("hybrid"), k, text="text", vector="vector").withColumn("mode", F.lit("hybrid")),
     ]
-    for query in asked("symbol_aware"):
+    for query in with_vectors("symbol_aware"):
         hits = rank_symbols(symbols.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), query.text, k).join(allowed, "chunk_id")
         scored = hits.select(
             F.lit(query.query_id).alias("query_id"), "chunk_id", "ordinal", T.lexical_score(F.col("text"), T.query_terms(query.text)).alias("lexical"),

@@ -104,14 +104,37 @@ def test_term_join_ranking_equals_brute_force(spark):
     assert got_lists(ranking.rank_many(df, queries, 5, text="text")) == brute(rows, queries, 5, 0.0, 1.0)
 
 
+def test_postings_are_read_as_far_as_the_best_need_them(spark, monkeypatch):
+    rng = random.Random(4)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(300)]
+    rows = [(f"d{i:03}", i % 7, " ".join(rng.choices(common, k=20) + rng.choices(rare, k=6)), None) for i in range(400)]
+    df = spark.createDataFrame(rows, "chunk_id string, ordinal long, text string, vector array<double>")
+    texts = {f"q{i}": " ".join(rng.choices(common, k=rng.randint(0, 9)) + rng.choices(rare, k=rng.randint(0, 20))) for i in range(40)}
+    texts |= {"whole": rows[17][2], "common": "c1 c2 c3", "none": "zzz"}
+    table = spark.createDataFrame(list(texts.items()), "query_id string, text string").repartition(3)
+    expected = brute(rows, [ranking.Query(q, t, ()) for q, t in texts.items()], 5, 0.0, 1.0)
+    read = []
+    score = ranking.score_candidates
+    monkeypatch.setattr(ranking, "score_candidates", lambda *tables: read.append(tables[-1].collect()) or score(*tables))
+    for first in (1, 4, 100):
+        monkeypatch.setattr(ranking, "FIRST_TERMS", first)
+        read.clear()
+        assert got_lists(ranking.rank_many_by_term(df, table, 5)) == expected
+        assert len({(r.query_id, r.id) for part in read for r in part}) == sum(map(len, read))  # nothing is read twice
+        if first == 1:
+            whole = {r.id for part in read for r in part if r.query_id == "whole"}
+            assert len(whole) < len(set(T.query_terms(texts["whole"])))  # its frequent terms are never read
+    assert {len(b) for b in ranking.query_blocks(table, 1000)} == {43} and sum(map(len, ranking.query_blocks(table, 5))) == 43
+
+
 def test_relevance_slices_agree(spark, monkeypatch):
     from attesta.plans import benchmark
 
     chunks = spark.createDataFrame([("s1", "one two three"), ("s2", "two three four"), ("s3", None)], "source_id string, text string")
     queries = spark.createDataFrame([("a", "two three"), ("b", "four"), ("c", "zzz"), ("d", "two three")], "query_id string, text string")
     expected = {("a", "s1"), ("a", "s2"), ("b", "s2"), ("d", "s1"), ("d", "s2")}
-    for limit in (100, 2, 1):
-        monkeypatch.setattr(ranking, "MAX_BROADCAST_ROWS", limit)
+    for block in (100, 2, 1):
+        monkeypatch.setattr(benchmark, "SHORT_BLOCK", block)
         assert {(r.query_id, r.source_id) for r in benchmark.relevance(chunks, queries).collect()} == expected
 
 
