@@ -26,9 +26,17 @@ def _hits(spark, sf_dir):
     return A.audit_hits(corpus.evidence(spark, sf_dir), REQUEST)
 
 
-@query("audit_hits_by_type", f"WITH {_HITS} SELECT source_type, rank, chunk_id, round(lex * 0.25, 8) AS score FROM hits")
+@query(
+    "audit_hits_by_type",
+    f"""WITH {S.EVIDENCE}, {S.SIMILARITY}, s AS (SELECT source_type, chunk_id, ordinal, {S.lexical('text', _TERMS)} AS lexical_score FROM evidence WHERE acl_scope = 'internal'),
+ h AS (SELECT source_type, chunk_id, ordinal, {S.HYBRID} AS score FROM s LEFT JOIN sim USING (chunk_id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY score DESC, ordinal, chunk_id) AS rank FROM h)
+ SELECT source_type, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 24""",
+)
 def audit_hits_by_type(spark, sf_dir):
-    return _hits(spark, sf_dir).select("source_type", "rank", "chunk_id", F.round("score", 8).alias("score"))
+    """Best hits of every source type by lexical and vector score."""
+    found = A.audit_hits(corpus.evidence(spark, sf_dir), REQUEST, embeddings=corpus.document_vectors(spark, sf_dir), query_vector=S.QUERY_VECTOR)
+    return found.select("source_type", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def _flat(found):
@@ -124,8 +132,8 @@ def audit_timeline(spark, sf_dir):
     return points.select(F.col("timestamp").cast("timestamp_ntz").alias("ts"), "statement", "source_id", "source_type", "locator", "event_id")
 
 
-_ALL = f"""{_HITS.replace("WHERE acl_scope = 'internal'", "WHERE acl_scope = 'internal' AND source_type <> 'integration'")}, {_LOG_FINDINGS}, {_CSV_FINDINGS}, {_SCHEMA_FINDINGS}, {_OUT_FINDINGS}, {_DOC_FINDINGS}, {_POINTS},
- base AS (SELECT * FROM lf UNION ALL SELECT * FROM cf UNION ALL SELECT * FROM sf UNION ALL SELECT * FROM qf UNION ALL SELECT * FROM df),
+_ALL = f"""{_HITS}, {_LOG_FINDINGS}, {_CSV_FINDINGS}, {_SCHEMA_FINDINGS}, {_OUT_FINDINGS}, {_DOC_FINDINGS}, {_INT_FINDINGS}, {_POINTS},
+ base AS (SELECT * FROM lf UNION ALL SELECT * FROM cf UNION ALL SELECT * FROM sf UNION ALL SELECT * FROM qf UNION ALL SELECT * FROM df UNION ALL SELECT * FROM nf),
  frames AS (SELECT DISTINCT l.path || ':' || l.line AS raw, c.locator, c.chunk_id FROM (SELECT regexp_extract(text, 'File "([^"]+)", line', 1) AS path, regexp_extract(text, 'line (\\d+)', 1) AS line FROM hits WHERE source_type = 'log' AND contains(text, 'File "')) l
    JOIN (SELECT * FROM hits WHERE source_type = 'code') c ON ends_with(string_split(c.locator, ':')[1], l.path)),
  derived AS (SELECT 'fact' AS classification FROM frames HAVING count(*) > 0 UNION ALL SELECT 'hypothesis' FROM frames HAVING count(*) > 0 AND (SELECT count(*) FROM lf WHERE contains(statement, 'failure signal')) > 0
@@ -133,15 +141,13 @@ _ALL = f"""{_HITS.replace("WHERE acl_scope = 'internal'", "WHERE acl_scope = 'in
  everything AS (SELECT classification FROM base UNION ALL SELECT classification FROM derived)"""
 
 
-def _checkpointed(spark, sf_dir):
-    """The bounded hits feed every analyzer, so they are computed once."""
-    scope = A.AuditRequest(REQUEST.query, scope=REQUEST.scope, symptoms=REQUEST.symptoms, source_types=("log", "splunk-csv", "code", "schema", "query-output", "document"))
-    return A.materialized_hits(corpus.evidence(spark, sf_dir), scope)
+def _whole(spark, sf_dir):
+    return A.materialized_hits(corpus.evidence(spark, sf_dir), REQUEST)
 
 
 @query("audit_finding_counts", f"WITH {_ALL} SELECT classification, count(*) AS n FROM everything GROUP BY classification")
 def audit_finding_counts(spark, sf_dir):
-    return A.class_counts(A.findings(_checkpointed(spark, sf_dir), REQUEST))
+    return A.class_counts(A.findings(_whole(spark, sf_dir), REQUEST))
 
 
 @query(
@@ -150,53 +156,13 @@ def audit_finding_counts(spark, sf_dir):
   || count(*) FILTER (classification = 'missing_evidence') || ' missing-evidence finding(s).' AS summary FROM everything""",
 )
 def audit_summary(spark, sf_dir):
-    found = A.findings(_checkpointed(spark, sf_dir), REQUEST)
-    return found.agg(A.executive_summary(found, REQUEST).alias("summary"))
-
-
-@query(
-    "audit_cross_source",
-    f"""WITH {_ALL}, code_fact AS (SELECT 'Source code evidence matches the runtime stack frame(s) ' || string_agg(DISTINCT raw, ', ' ORDER BY raw) || '.' AS statement, string_agg(DISTINCT locator, ',' ORDER BY locator) AS provenance FROM frames HAVING count(*) > 0)
- SELECT 'fact' AS classification, statement, 0.96::DOUBLE AS confidence, provenance FROM code_fact
- UNION ALL SELECT 'recommendation', '{A.RECOMMENDATION}', 0.91, (SELECT replace(replace(statement, 'Query output at ', ''), ' does not provide sufficient live data to confirm the database state.', '') FROM qf WHERE classification = 'missing_evidence' ORDER BY statement LIMIT 1)
-  FROM qf WHERE classification = 'missing_evidence' HAVING count(*) > 0""",
-)
-def audit_cross_source(spark, sf_dir):
-    hits = _checkpointed(spark, sf_dir)
-    derived = A.cross_source_findings(A.observations(hits, REQUEST), hits, REQUEST).where("classification != 'hypothesis'")
-    return derived.select("classification", "statement", "confidence", F.array_join("provenance", ",").alias("provenance"))
-
-
-#: The same with integration pages: no source type is left out.
-_WHOLE = (
-    _ALL.replace(" AND source_type <> 'integration'", "")
-    .replace(f", {_POINTS}", f", {_INT_FINDINGS}, {_POINTS}")
-    .replace("SELECT * FROM df)", "SELECT * FROM df UNION ALL SELECT * FROM nf)")
-)
-
-
-def _whole(spark, sf_dir):
-    return A.materialized_hits(corpus.evidence(spark, sf_dir), REQUEST)
-
-
-@query("audit_whole_finding_counts", f"WITH {_WHOLE} SELECT classification, count(*) AS n FROM everything GROUP BY classification")
-def audit_whole_finding_counts(spark, sf_dir):
-    return A.class_counts(A.findings(_whole(spark, sf_dir), REQUEST))
-
-
-@query(
-    "audit_whole_summary",
-    f"""WITH {_WHOLE} SELECT 'Audit scope ''orders'' produced ' || count(*) FILTER (classification = 'fact') || ' fact finding(s), ' || count(*) FILTER (classification = 'hypothesis') || ' hypothesis finding(s), and '
-  || count(*) FILTER (classification = 'missing_evidence') || ' missing-evidence finding(s).' AS summary FROM everything""",
-)
-def audit_whole_summary(spark, sf_dir):
     found = A.findings(_whole(spark, sf_dir), REQUEST)
     return found.agg(A.executive_summary(found, REQUEST).alias("summary"))
 
 
 @query(
-    "audit_whole_cross_source",
-    f"""WITH {_WHOLE}, code_fact AS (SELECT 'Source code evidence matches the runtime stack frame(s) ' || string_agg(DISTINCT raw, ', ' ORDER BY raw) || '.' AS statement, string_agg(DISTINCT locator, ',' ORDER BY locator) AS provenance, string_agg(DISTINCT locator, ', ' ORDER BY locator) AS named FROM frames HAVING count(*) > 0),
+    "audit_cross_source",
+    f"""WITH {_ALL}, code_fact AS (SELECT 'Source code evidence matches the runtime stack frame(s) ' || string_agg(DISTINCT raw, ', ' ORDER BY raw) || '.' AS statement, string_agg(DISTINCT locator, ',' ORDER BY locator) AS provenance, string_agg(DISTINCT locator, ', ' ORDER BY locator) AS named FROM frames HAVING count(*) > 0),
  log_fact AS (SELECT string_agg(DISTINCT locator, ',' ORDER BY locator) AS provenance FROM logs WHERE bad HAVING count(*) > 0),
  schema_fact AS (SELECT string_agg(DISTINCT locator, ',' ORDER BY locator) AS provenance, string_agg(DISTINCT locator, ', ' ORDER BY locator) AS named FROM hits WHERE source_type = 'schema' HAVING count(*) > 0)
  SELECT 'fact' AS classification, statement, 0.96::DOUBLE AS confidence, provenance FROM code_fact
@@ -205,7 +171,7 @@ def audit_whole_summary(spark, sf_dir):
  UNION ALL SELECT 'recommendation', '{A.RECOMMENDATION}', 0.91, (SELECT replace(replace(statement, 'Query output at ', ''), ' does not provide sufficient live data to confirm the database state.', '') FROM qf WHERE classification = 'missing_evidence' ORDER BY statement LIMIT 1)
   FROM qf WHERE classification = 'missing_evidence' HAVING count(*) > 0""",
 )
-def audit_whole_cross_source(spark, sf_dir):
+def audit_cross_source(spark, sf_dir):
     hits = _whole(spark, sf_dir)
     derived = A.cross_source_findings(A.observations(hits, REQUEST), hits, REQUEST)
     return derived.select("classification", "statement", "confidence", F.array_join("provenance", ",").alias("provenance"))

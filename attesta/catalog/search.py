@@ -62,9 +62,17 @@ def _semantic_sql(kind: str, words: str, table: str) -> str:
  SELECT chunk_id, round(lexical_score, 8) AS lexical_score, round(lexical_score * 0.25, 8) AS score FROM s ORDER BY lexical_score DESC, ordinal, chunk_id LIMIT 10"""
 
 
-@query("docs_search", _semantic_sql("docs", "verification of the src3", S.PROSE))
+@query(
+    "docs_search",
+    f"""WITH {S.SIMILARITY}, s AS (SELECT chunk_id, ordinal, {S.lexical('text', T.query_terms('verification of the src3'))} AS lexical_score FROM ({S.PROSE}) WHERE acl_scope = 'internal'),
+ h AS (SELECT chunk_id, ordinal, lexical_score, coalesce(semantic_score, 0) AS semantic_score, {S.HYBRID} AS score FROM s LEFT JOIN sim USING (chunk_id))
+ SELECT chunk_id, round(lexical_score, 8) AS lexical_score, round(semantic_score, 6) AS semantic_score, round(score, 6) AS score FROM h ORDER BY h.score DESC, ordinal, chunk_id LIMIT 10""",
+)
 def docs_search(spark, sf_dir):
-    return _hits(ST.search(_chunks(spark, sf_dir), "docs", ST.SearchRequest("verification of the src3", filters=INTERNAL)))
+    """Lexical and vector scores together, over the documents that have a vector and those that have none."""
+    request = ST.SearchRequest("verification of the src3", filters=INTERNAL)
+    found = ST.search(_chunks(spark, sf_dir), "docs", request, corpus.document_vectors(spark, sf_dir), S.QUERY_VECTOR)
+    return found.select("chunk_id", F.round("lexical_score", 8).alias("lexical_score"), F.round("semantic_score", 6).alias("semantic_score"), F.round("score", 6).alias("score"))
 
 
 @query("schema_search", _semantic_sql("schema", "table nation_7 varchar", S.SCHEMAS))
@@ -79,15 +87,17 @@ def query_output_search(spark, sf_dir):
 
 @query(
     "batch_correlation",
-    f"""WITH {S.EVIDENCE}, s AS (SELECT chunk_id, ordinal, {S.lexical('text', T.query_terms('req-17 req-16 req-18'))} AS lexical_score FROM evidence WHERE domain_id = 'encargos_sigef' AND system_id IN ('sys-1', 'sys-2')
-   AND source_type IN ('document', 'log', 'code', 'schema', 'query-output')) SELECT chunk_id, round(lexical_score, 8) AS lexical_score, round(lexical_score * 0.25, 8) AS score FROM s ORDER BY lexical_score DESC, ordinal, chunk_id LIMIT 10""",
+    f"""WITH {S.EVIDENCE}, {S.SIMILARITY}, s AS (SELECT chunk_id, ordinal, {S.lexical('text', T.query_terms('req-17 req-16 req-18'))} AS lexical_score FROM evidence WHERE domain_id = 'encargos_sigef' AND system_id IN ('sys-1', 'sys-2')
+   AND source_type IN ('document', 'log', 'code', 'schema', 'query-output')), h AS (SELECT chunk_id, ordinal, lexical_score, {S.HYBRID} AS score FROM s LEFT JOIN sim USING (chunk_id))
+ SELECT chunk_id, round(lexical_score, 8) AS lexical_score, round(score, 6) AS score FROM h ORDER BY h.score DESC, ordinal, chunk_id LIMIT 10""",
 )
 def batch_correlation(spark, sf_dir):
     from attesta.plans import profiles
 
     systems = profiles.expand_systems(["batch", "LEDGER"], {"batch": ("sys-1",), "ledger": ("sys-2", "sys-1")})
     request = ST.SearchRequest(profiles.batch_query("req-17", "req-16", "req-18"), filters=RetrievalFilters(principal_domain_id="encargos_sigef", system_ids=systems))
-    return _hits(ST.search(_chunks(spark, sf_dir), "domain_evidence", request))
+    found = ST.search(_chunks(spark, sf_dir), "domain_evidence", request, corpus.document_vectors(spark, sf_dir), S.QUERY_VECTOR)
+    return found.select("chunk_id", F.round("lexical_score", 8).alias("lexical_score"), F.round("score", 6).alias("score"))
 
 
 @query(

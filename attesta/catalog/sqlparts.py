@@ -87,3 +87,10 @@ def chunker(source: str, keep: str, limit: int, overshoot: bool) -> str:
    FROM walk w JOIN lines l ON l.n = w.n + 1 AND {' AND '.join('l.' + k.strip() + ' = w.' + k.strip() for k in keep.split(','))}),
  blocks AS (SELECT {keep}, start AS line_start, max(n) AS line_end, trim(string_agg(line, chr(10) ORDER BY n)) AS text
    FROM walk WHERE NOT skipped GROUP BY {keep}, start)"""
+
+
+#: A query vector for searches over the embeddings of documents (64 dimensions).
+QUERY_VECTOR = [((i * 7919) % 13 - 6) / 10 for i in range(64)]
+#: Vectors of documents by chunk id, and the similarity to the query vector (0 without a vector).
+SIMILARITY = f"sim AS (SELECT 'doc-' || vec_id AS chunk_id, list_cosine_similarity(embedding::DOUBLE[], {QUERY_VECTOR}::DOUBLE[]) AS semantic_score FROM embeddings)"
+HYBRID = "0.75 * coalesce(semantic_score, 0) + 0.25 * lexical_score"

@@ -18,6 +18,7 @@ from attesta.functions import extract, ids
 from attesta.functions import text as T
 from attesta.operators import joins, ranking
 from attesta.operators.filters import RetrievalFilters, compile_filters
+from attesta.plans.retrieval import hybrid_best
 from attesta.session import cut_lineage
 
 # Hits per source type, confidences, and statement wording.
@@ -86,20 +87,23 @@ def reference_id(role: str, tag: str) -> Column:
     return ids.audit_id("eref", F.col("source_id"), F.col("source_version_id"), F.col("locator"), F.lit(role), F.lit(tag))
 
 
-def audit_hits(chunks: DataFrame, request: AuditRequest, per_type: int = HITS_PER_TYPE) -> DataFrame:
-    """Best hits of every source type, lexically ranked, in one scan."""
+def audit_hits(chunks: DataFrame, request: AuditRequest, per_type: int = HITS_PER_TYPE, embeddings: DataFrame | None = None, query_vector: Sequence[float] = ()) -> DataFrame:
+    """Best hits of every source type, by lexical and, with ``embeddings``, vector score.
+
+    Ids and scores are ranked; texts are fetched for the winners. All types in scope are ranked in one
+    pass, so there is no list of discovered types that could miss one.
+    """
     allowed = chunks.where(compile_filters(request.filters()))
-    scored = allowed.withColumn("score", ranking.hybrid_score(F.lit(0.0), T.lexical_score(F.col("text"), T.query_terms(request.search_terms))))
-    return ranking.top_k_per(scored, ["source_type"], per_type)
+    return hybrid_best(allowed, request.search_terms, per_type, ["source_type"], embeddings=embeddings, query_vector=query_vector)
 
 
-def materialized_hits(chunks: DataFrame, request: AuditRequest, per_type: int = HITS_PER_TYPE) -> DataFrame:
+def materialized_hits(chunks: DataFrame, request: AuditRequest, per_type: int = HITS_PER_TYPE, **side) -> DataFrame:
     """Hits computed once for all analyzers.
 
     At most ``per_type`` rows per source type remain, so they fit one partition, and the
     analyzers aggregate them without further exchanges.
     """
-    return cut_lineage(audit_hits(chunks, request, per_type)).coalesce(1)
+    return cut_lineage(audit_hits(chunks, request, per_type, **side)).coalesce(1)
 
 
 def source_types(chunks: DataFrame) -> DataFrame:

@@ -47,6 +47,51 @@ def hybrid_scores(
     return joined.withColumn("score", ranking.hybrid_score(F.col("semantic_score"), F.col("lexical_score"), *weights))
 
 
+def narrow_scores(
+    allowed: DataFrame,
+    query: str,
+    keys: Sequence[str] = (),
+    *,
+    embeddings: DataFrame | None = None,
+    query_vector: Sequence[float] = (),
+    vector: str = "vector",
+    weights: tuple[float, float] = (ranking.SEMANTIC_WEIGHT, ranking.LEXICAL_WEIGHT),
+) -> DataFrame:
+    """``chunk_id, ordinal``, the keys and the scores of chunks that are already in scope.
+
+    No text and no vector is left in these rows. Without ``embeddings``, and for chunks without a
+    vector, the semantic score is 0.
+    """
+    rows = allowed.select("chunk_id", "ordinal", *keys, T.lexical_score(F.col("text"), T.query_terms(query or " ")).alias("lexical_score"))
+    if embeddings is None:
+        rows = rows.withColumn("semantic_score", F.lit(0.0))
+    else:
+        semantic = embeddings.select("chunk_id", V.cosine_to(F.col(vector), query_vector).alias("semantic_score"))
+        rows = rows.join(semantic, "chunk_id", "left").withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0)))
+    return rows.withColumn("score", ranking.hybrid_score(F.col("semantic_score"), F.col("lexical_score"), *weights))
+
+
+def fetch(allowed: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of a few ranked chunks, with the scores and ranks they were found with.
+
+    ``best`` is a materialised top-k; its ids are a literal predicate of the second scan up to
+    ``LITERAL_LOOKUP`` rows, and a semi-join beyond.
+    """
+    new = [c for c in best.columns if c == "chunk_id" or c not in allowed.columns]
+    return _rows_of(allowed, best, "chunk_id", best.count()).join(best.select(*new), "chunk_id")
+
+
+def hybrid_best(allowed: DataFrame, query: str, k: int, keys: Sequence[str] = (), **side) -> DataFrame:
+    """The best ``k`` chunks in scope, or of every group of ``keys``, ranked on narrow rows and then fetched.
+
+    ``keys`` may name a group that holds most of the corpus: each task keeps k rows a group before
+    the shuffle, and what is shuffled are ids and numbers.
+    """
+    scores = narrow_scores(allowed, query, keys, **side)
+    best = ranking.top_k_per(scores, keys, k) if keys else ranked(ranking.top_k(scores, k))
+    return fetch(allowed, cut_lineage(best))
+
+
 def space_mismatches(chunks: DataFrame, embeddings: DataFrame, space: str) -> DataFrame:
     """Chunks that have a vector in some other space but none in ``space``."""
     here = F.col("embedding_space_id") == space

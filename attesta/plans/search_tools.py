@@ -17,6 +17,7 @@ from attesta.functions import extract
 from attesta.functions import text as T
 from attesta.operators import packaging, ranking
 from attesta.operators.filters import RetrievalFilters, compile_filters
+from attesta.plans.retrieval import hybrid_best
 
 # Evidence classes searched by each tool, and score floors.
 TOOL_SOURCE_TYPES = {
@@ -144,16 +145,23 @@ def lexical_hits(chunks: DataFrame, request: SearchRequest) -> DataFrame:
 SCORERS = {"code_exact": exact_hits, "code_symbols": symbol_hits, "logs": log_hits}
 
 
-def search(chunks: DataFrame, mode: str, request: SearchRequest) -> DataFrame:
-    """Ranked hits of one tool: scope first, then the tool's scorer, then top-k."""
+def search(chunks: DataFrame, mode: str, request: SearchRequest, embeddings: DataFrame | None = None, query_vector: Sequence[float] = ()) -> DataFrame:
+    """Ranked hits of one tool: scope first, then the tool's scorer, then top-k.
+
+    ``embeddings`` (``chunk_id, vector`` of one space) and ``query_vector`` add the vector side to the
+    semantic tools; exact, symbol and log search have none.
+    """
     types = tuple(request.filters.source_types) or TOOL_SOURCE_TYPES[mode]
     evidence = tuple(request.filters.evidence_types) or types
     scope = replace(request.filters, source_types=types, evidence_types=evidence, since=None, until=None) if mode == "logs" else replace(request.filters, source_types=types, evidence_types=evidence)
-    return ranking.top_k(SCORERS.get(mode, lexical_hits)(chunks.where(compile_filters(scope)), request), request.limit)
+    allowed = chunks.where(compile_filters(scope))
+    if embeddings is not None and mode not in SCORERS:
+        return hybrid_best(allowed, request.query, request.limit, embeddings=embeddings, query_vector=query_vector)
+    return ranking.top_k(SCORERS.get(mode, lexical_hits)(allowed, request), request.limit)
 
 
-def search_packages(chunks: DataFrame, mode: str, request: SearchRequest) -> DataFrame:
-    return packaging.package_hits(search(chunks, mode, request), request.query, mode)
+def search_packages(chunks: DataFrame, mode: str, request: SearchRequest, embeddings: DataFrame | None = None, query_vector: Sequence[float] = ()) -> DataFrame:
+    return packaging.package_hits(search(chunks, mode, request, embeddings, query_vector), request.query, mode)
 
 
 def retrieve(chunks: DataFrame, request: SearchRequest, mode: str | None = None) -> DataFrame:

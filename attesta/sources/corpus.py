@@ -165,3 +165,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "role",
         "conv_id",
     )
+
+
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chunk_id, vector`` of the documents that have an embedding."""
+    return table(spark, sf_dir, "embeddings").select(text_of("doc-", F.col("vec_id")).alias("chunk_id"), F.col("embedding").alias("vector"))

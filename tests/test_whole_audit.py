@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables
 
 def test_integration_pages_and_hypotheses_count(spark):
     queries = entry.queries()
-    facts = [{r["classification"]: r["n"] for r in queries[q](spark, SF).collect()}["fact"] for q in ("audit_finding_counts", "audit_whole_finding_counts")]
-    assert facts[1] == facts[0] + queries["audit_integration_findings"](spark, SF).count()
-    kinds = {r["classification"] for r in queries["audit_whole_cross_source"](spark, SF).collect()}
+    facts = {r["classification"]: r["n"] for r in queries["audit_finding_counts"](spark, SF).collect()}["fact"]
+    assert facts >= queries["audit_integration_findings"](spark, SF).count() > 0
+    kinds = {r["classification"] for r in queries["audit_cross_source"](spark, SF).collect()}
     assert "hypothesis" in kinds
