@@ -162,3 +162,62 @@ def graph_edge_dedupe(spark, sf_dir):
     edges = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     kept = edges.select("source_domain_id", "target_domain_id", "relation_type", "l_orderkey", "l_linenumber", "l_suppkey")
     return C.explicit_edges(kept, ["l_orderkey", "l_linenumber", "l_suppkey"])
+
+
+#: A budget that holds some of the hits: the others come back as missing evidence.
+FULL = C.CorrelationRequest("error handled handoff of req-9", domain_ids=("criminal", "judicial", "sigef", "sco"), evidence_budget=12, token_budget=170, acl_scopes=("internal", "public"))
+_FULL_DOMAINS = router.select_domains(FULL.domain_ids)
+_FULL_SHARES = C.shares(FULL.evidence_budget, _FULL_DOMAINS)
+_FULL_SQL = f"""{S.EVIDENCE}, ranked AS (SELECT *, {S.lexical('text', T.query_terms(FULL.question))} AS lex FROM evidence
+   WHERE domain_id IN ('{"', '".join(_FULL_DOMAINS)}') AND acl_scope IN ('internal', 'public') AND source_type IN ('document', 'log', 'code', 'schema', 'query-output')),
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY lex DESC, ordinal, chunk_id) AS rank, greatest(1, (length(text) + 3) // 4) AS tokens,
+   list_position(['{"', '".join(_FULL_DOMAINS)}'], domain_id) AS place FROM ranked),
+ hits AS (SELECT *, row_number() OVER (ORDER BY rank, place) AS turn FROM numbered WHERE rank <= CASE domain_id {' '.join(f"WHEN '{d}' THEN {n}" for d, n in _FULL_SHARES.items())} END),
+ fold AS (SELECT 0::BIGINT AS turn, 0::BIGINT AS used, NULL::VARCHAR AS taken
+   UNION ALL SELECT h.turn, CASE WHEN used + tokens <= {FULL.token_budget} THEN used + tokens ELSE used END, CASE WHEN used + tokens <= {FULL.token_budget} THEN chunk_id END FROM fold f JOIN hits h ON h.turn = f.turn + 1),
+ k AS (SELECT h.*, f.taken IS NOT NULL AS kept FROM hits h JOIN fold f USING (turn))"""
+
+
+@query(
+    "correlate_full",
+    f"""WITH RECURSIVE {_FULL_SQL}, edges_ AS (SELECT count(*) AS n FROM (SELECT unnest(['{"', '".join(_FULL_DOMAINS)}']) AS a) x JOIN (SELECT unnest(['{"', '".join(_FULL_DOMAINS)}']) AS b) y ON a <> b)
+ SELECT 'ok' AS status, count(DISTINCT source_version_id) FILTER (kept) AS packages, coalesce(sum(tokens) FILTER (kept), 0)::BIGINT AS tokens_kept,
+  string_agg(source_id || ':' || locator, ',' ORDER BY place, rank) FILTER (NOT kept) AS left_out, coalesce(sum(tokens) FILTER (NOT kept), 0)::BIGINT AS tokens_left_out,
+  (SELECT n FROM edges_)::BIGINT AS edges, count(DISTINCT domain_id) FILTER (NOT kept) AS missing_evidence,
+  'Correlated {len(_FULL_DOMAINS)} domain(s) [{", ".join(profiles.DOMAIN_NAMES[d] for d in _FULL_DOMAINS)}] with ' || (SELECT n FROM edges_) || ' integration edge(s) and ' || count(*) FILTER (kept) || ' provenance-bearing evidence ref(s).' AS summary
+ FROM k""",
+)
+def correlate_full(spark, sf_dir):
+    """A whole correlation: budgets, hits, edges, findings and summary, with what was left out."""
+    row = C.correlate(corpus.evidence(spark, sf_dir), FULL)
+    place = F.array(*[F.lit(d) for d in _FULL_DOMAINS])
+    over = F.array_sort(F.transform("left_out", lambda o: F.struct(F.array_position(place, o["domain_id"]).alias("p"), o["references"].alias("r"), o["tokens"].alias("t"))))
+    kept = F.filter("delegations", lambda d: d["package_count"] > 0)
+    return row.select(
+        "status", "packages", F.aggregate(kept, F.lit(0).cast("long"), lambda s, d: s + d["estimated_tokens"]).alias("tokens_kept"),
+        F.array_join(F.flatten(F.transform(over, lambda o: o["r"])), ",").alias("left_out"), F.aggregate(over, F.lit(0).cast("long"), lambda s, o: s + o["t"]).alias("tokens_left_out"),
+        F.size("edges").cast("long").alias("edges"), F.size(F.filter("findings", lambda f: f["classification"] == "missing_evidence")).cast("long").alias("missing_evidence"), "summary",
+    )
+
+
+@query(
+    "edges_explicit_else_implied",
+    f"""WITH {_INFERRED}, t AS (SELECT conv_id, turn, question, list_transform(found, lambda x: x.d) AS found FROM inferred),
+ nxt AS (SELECT conv_id, turn, found[1] AS s, lead(found[1]) OVER (PARTITION BY conv_id ORDER BY turn, question) AS t FROM t),
+ ex AS (SELECT DISTINCT conv_id, s AS source_domain_id, t AS target_domain_id, 'handoff' AS relation_type, 'explicit' AS origin FROM nxt WHERE s IS NOT NULL AND t IS NOT NULL AND s <> t),
+ doms AS (SELECT DISTINCT conv_id, unnest(found) AS d FROM t),
+ opening AS (SELECT conv_id, arg_min(question, (turn, question)) AS question FROM t GROUP BY conv_id),
+ im AS (SELECT a.conv_id, a.d AS source_domain_id, b.d AS target_domain_id, CASE WHEN contains(lower(question), 'handoff') THEN 'handoff' WHEN contains(lower(question), 'ownership') OR contains(lower(question), 'case') THEN 'case-reference'
+   WHEN contains(lower(question), 'delegate') THEN 'delegates-to' ELSE 'integration-correlation' END AS relation_type, 'implied' AS origin FROM doms a JOIN doms b ON a.conv_id = b.conv_id AND a.d <> b.d JOIN opening o ON o.conv_id = a.conv_id
+   WHERE a.conv_id NOT IN (SELECT conv_id FROM ex))
+ SELECT * FROM ex UNION ALL SELECT * FROM im""",
+)
+def edges_explicit_else_implied(spark, sf_dir):
+    """Conversations as requests: consecutive turns about two domains state an edge, other conversations imply theirs."""
+    turns = _questions(spark, sf_dir).select("conv_id", "turn", "question", router.inferred_domains(F.col("question")).alias("found"))
+    first = F.get("found", F.lit(0))
+    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "question", first.alias("d"), "found"))).alias("t"))
+    steps = F.transform(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.struct(F.get(F.col("t.d"), i).alias("source_domain_id"), x["d"].alias("target_domain_id"), F.get(F.col("t.turn"), i).alias("turn")))
+    explicit = per.select(F.col("conv_id").alias("request_id"), F.inline(steps)).where("source_domain_id is not null and source_domain_id <> target_domain_id").withColumn("relation_type", F.lit("handoff"))
+    requests = per.select(F.col("conv_id").alias("request_id"), F.get(F.col("t.question"), F.lit(0)).alias("question"), F.array_distinct(F.flatten(F.col("t.found"))).alias("domain_ids"))
+    return C.request_edges(explicit, requests, ["turn"]).withColumnRenamed("request_id", "conv_id")

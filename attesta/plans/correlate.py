@@ -6,6 +6,7 @@ domain's share of the evidence budget. Everything after that is bounded by the b
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -20,11 +21,14 @@ from attesta.operators import packaging, ranking
 from attesta.operators.ranking import first_per_key
 from attesta.plans import profiles, router
 from attesta.plans import search_tools as ST
+from attesta.session import cut_lineage
 
 # Budgets, mode names and relation keywords.
 MAX_EVIDENCE = 16
 DEFAULT_EVIDENCE = 8
+DEFAULT_TOKENS = 12_000
 EXPLICIT_MODES = {"exact": "code_exact", "symbol": "code_symbols", "logs": "logs", "docs": "docs", "schema": "schema", "query_outputs": "query_outputs"}
+IMPLIED_RELATION = "integration-correlation"
 RELATIONS = [("handoff", "handoff"), ("ownership", "case-reference"), ("case", "case-reference"), ("delegate", "delegates-to")]
 
 
@@ -41,6 +45,7 @@ class CorrelationRequest:
     since: datetime | None = None
     until: datetime | None = None
     evidence_budget: int = DEFAULT_EVIDENCE
+    token_budget: int = DEFAULT_TOKENS
     mode: str = "domain_evidence"
     acl_scopes: Sequence[str] = ()
 
@@ -107,6 +112,31 @@ def domain_hits(chunks: DataFrame, request: CorrelationRequest, domains: Sequenc
     return ranking.top_k_per(scored, ["domain_id"], max(budget.values())).where(F.col("rank") <= limit)
 
 
+def within_tokens(hits: DataFrame, domains: Sequence[str], budget: int) -> DataFrame:
+    """The hits with ``kept``: whether the token budget of the request holds them.
+
+    Domains take turns: the best hit of each, then the second of each, and so on; a hit that no
+    longer fits is passed over, smaller ones behind it may still fit. The hits of one request are
+    bounded by its evidence budget, so their order is one small array and the budget one fold.
+    """
+    place = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain_id"))
+    turns = F.array_sort(F.collect_list(F.struct("rank", place.alias("place"), "chunk_id", T.estimated_tokens(F.col("text")).alias("tokens"))))
+    nothing = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
+
+    def take(state: Column, hit: Column) -> Column:
+        more = F.struct((state["used"] + hit["tokens"]).alias("used"), F.concat(state["kept"], F.array(hit["chunk_id"])).alias("kept"))
+        return F.when(state["used"] + hit["tokens"] <= budget, more).otherwise(state)
+
+    kept = hits.agg(turns.alias("turns")).select(F.explode(F.aggregate("turns", nothing, take)["kept"]).alias("chunk_id"), F.lit(True).alias("kept"))
+    return hits.join(F.broadcast(kept), "chunk_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+def left_out(hits: DataFrame) -> DataFrame:
+    """``domain_id, hits, tokens, references`` of what the token budget does not hold."""
+    refs = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "source_id", "locator").alias("r"))))["r"]
+    return hits.where(~F.col("kept")).groupBy("domain_id").agg(F.count(F.lit(1)).alias("hits"), F.sum(T.estimated_tokens(F.col("text"))).alias("tokens"), refs.alias("references"))
+
+
 def domain_packages(hits: DataFrame, request: CorrelationRequest) -> DataFrame:
     packed = packaging.package_hits(hits, request.question, choose_mode(request))
     return packed
@@ -163,7 +193,7 @@ def domain_facts(rows: DataFrame) -> DataFrame:
 
 def relation_type(question: str) -> str:
     lowered = question.lower()
-    return next((relation for word, relation in RELATIONS if word in lowered), "integration-correlation")
+    return next((relation for word, relation in RELATIONS if word in lowered), IMPLIED_RELATION)
 
 
 def explicit_edges(edges: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -196,6 +226,93 @@ def implied_edges(rows: DataFrame, request: CorrelationRequest) -> DataFrame:
     )
 
 
+def relation_of(question: Column) -> Column:
+    """Column form of :func:`relation_type`."""
+    relation = F.lit(IMPLIED_RELATION)
+    for word, name in reversed(RELATIONS):
+        relation = F.when(F.contains(F.lower(question), F.lit(word)), F.lit(name)).otherwise(relation)
+    return relation
+
+
+def request_edges(explicit: DataFrame, requests: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Edges of many requests in one plan: a request's explicit edges, or else the implied ones.
+
+    ``explicit`` has ``request_id, source_domain_id, target_domain_id, relation_type`` and the columns
+    of ``order``; the first of equal edges stays, and edges without target do not count. A request
+    (``request_id, question, domain_ids``) none of whose edges is left gets both directions between
+    each two of its domains. The domains of a request are a short array, so its pairs are formed in
+    the row; the only shuffles are by request.
+    """
+    keys = ["request_id", "source_domain_id", "target_domain_id", "relation_type"]
+    stated = first_per_key(explicit.where(F.coalesce(F.col("target_domain_id"), F.lit("")) != ""), keys, order)
+    open_ = requests.join(stated.select("request_id"), "request_id", "left_anti")
+    pairs = F.flatten(F.transform("domain_ids", lambda s: F.transform(F.filter("domain_ids", lambda t: t != s), lambda t: F.struct(s.alias("source_domain_id"), t.alias("target_domain_id")))))
+    implied = open_.select("request_id", relation_of(F.col("question")).alias("relation_type"), F.inline(pairs)).select(*keys)
+    return stated.select(*keys, F.lit("explicit").alias("origin")).unionByName(implied.select(*keys, F.lit("implied").alias("origin")))
+
+
+def correlate(chunks: DataFrame, request: CorrelationRequest, edges: DataFrame | None = None) -> DataFrame:
+    """One row: the whole correlation of a request, from the choice of domains to the summary.
+
+    ``edges`` are registered integration edges (``edge_id, source_domain_id, target_domain_id,
+    relation_type``); without one that starts in a selected domain the edges are implied. What the
+    limits leave out, hits beyond the token budget and domains beyond the fan-out, comes back in
+    ``left_out``, ``dropped_domain_ids`` and as missing evidence among the findings.
+    """
+    every = router.select_domains(request.domain_ids, request.systems, request.components, request.question, max_domains=len(profiles.DOMAINS))
+    domains, dropped = every[: router.MAX_DOMAINS], every[router.MAX_DOMAINS :]
+    hits = cut_lineage(within_tokens(cut_lineage(domain_hits(chunks, request, domains)), domains, request.token_budget))
+    rows = cut_lineage(delegations(hits.where("kept"), request, domains))
+    over = left_out(hits)
+    graph = implied_edges(rows, request)
+    if edges is not None:
+        registered = explicit_edges(edges.where(F.col("source_domain_id").isin(list(domains))), ["edge_id"]).select("edge_id", "source_domain_id", "target_domain_id", "relation_type")
+        if not registered.isEmpty():
+            zero = F.lit(0)
+            graph = registered.withColumns({"left_position": zero, "right_position": zero, "reverse": F.lit(False)})
+    name = display_name(F.col("domain_id"))
+    unread = over.select(
+        F.lit("missing_evidence").alias("classification"),
+        F.concat(F.col("hits").cast("string"), F.lit(" evidence item(s) of "), name, F.lit(" ("), F.col("tokens").cast("string"), F.lit(" tokens) were left out by the token budget.")).alias("statement"),
+        F.lit(0.58).alias("confidence"),
+    )
+    unasked = [("missing_evidence", f"{profiles.DOMAIN_NAMES.get(d, d)} was not searched: {len(domains)} domains are correlated at once.", 0.58) for d in dropped]
+    found = graph_findings(rows, graph).unionByName(unread)
+    if unasked:
+        found = found.unionByName(chunks.sparkSession.createDataFrame(unasked, "classification string, statement string, confidence double"))
+
+    def packed(df: DataFrame, *columns: str) -> DataFrame:
+        return df.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("all"))
+
+    # a handful of rows each, bounded by domains and evidence budget: read here, and put into the one row
+    listed = {
+        "delegations": packed(rows, "position", "domain_id", "package_count", "estimated_tokens", "estimated_bytes", "provenance_refs"),
+        "edges": packed(graph, "source_domain_id", "target_domain_id", "relation_type", "edge_id"),
+        "findings": packed(found, "classification", "statement", "confidence"),
+        "left_out": packed(over, "domain_id", "hits", "tokens", "references"),
+    }
+    whole = totals(rows)
+    edge_count = graph.count()
+    for column, table in listed.items():
+        kind = table.schema["all"].dataType
+        whole = whole.withColumn(column, F.from_json(F.lit(json.dumps(literal(table.first()["all"]))), kind))
+    return whole.withColumns(
+        {
+            "correlation_id": correlation_id(request, domains),
+            "selected_domain_ids": F.array(*[F.lit(d) for d in domains]), "dropped_domain_ids": F.array(*[F.lit(d) for d in dropped]).cast("array<string>"),
+            "evidence_budget": F.lit(request.evidence_budget), "token_budget": F.lit(request.token_budget),
+            "summary": F.lit(rows.agg(summary_text(rows, F.lit(edge_count)).alias("s")).first()["s"]),
+        }
+    )
+
+
+def literal(value):
+    """Rows of a bounded result as plain lists and objects."""
+    if isinstance(value, list):
+        return [literal(v) for v in value]
+    return {k: literal(v) for k, v in value.asDict().items()} if hasattr(value, "asDict") else value
+
+
 def graph_findings(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Facts of working domains, one inference over all edges, and what failed."""
     facts = domain_facts(rows).select("classification", "statement", "confidence")
