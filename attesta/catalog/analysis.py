@@ -68,7 +68,7 @@ def audit_export_findings(spark, sf_dir):
 def _with_symbols(hits):
     """Code hits with the qualified names they declare (at most 24 hits are indexed)."""
     code = hits.where("source_type = 'code'").select("source_version_id", "source_uri", F.col("text").alias("content"))
-    symbols = code_index.qualified(code_index.declarations(code))
+    symbols = code_index.declarations(code)
     names = symbols.groupBy("source_version_id").agg(F.array_sort(F.collect_list(F.struct("line_start", "qualified_name")))["qualified_name"].alias("symbol_names"))
     return hits.join(names, "source_version_id", "left")
 

@@ -30,7 +30,7 @@ _DECL = f"""code AS ({S.CODE}), lines AS (SELECT source_version_id, source_uri,
     f"WITH {_DECL} SELECT source_version_id, n AS line_start, kind, name, qualified_name, trim(line) AS signature, 'sym_' || left(sha256(source_version_id || chr(0) || qualified_name || chr(0) || n), 32) AS symbol_id FROM sym",
 )
 def code_symbols(spark, sf_dir):
-    rows = code_index.symbols(_sources(spark, sf_dir), _chunks(spark, sf_dir))
+    rows = code_index.symbols(_sources(spark, sf_dir), _chunks(spark, sf_dir), with_references=False)
     return rows.select("source_version_id", F.col("line_start").cast("long").alias("line_start"), "kind", "name", "qualified_name", "signature", "symbol_id")
 
 
@@ -41,8 +41,8 @@ def code_symbols(spark, sf_dir):
  SELECT s.source_version_id, s.n AS line_start, s.name, min(b.ordinal) AS ordinal FROM sym s JOIN spans b ON b.source_version_id = s.source_version_id AND s.n BETWEEN b.line_start AND b.line_end GROUP BY 1, 2, 3""",
 )
 def symbol_chunk_attach(spark, sf_dir):
-    attached = code_index.attach_chunks(code_index.declarations(_sources(spark, sf_dir)), _chunks(spark, sf_dir))
-    return attached.select("source_version_id", F.col("line_start").cast("long").alias("line_start"), "name", F.col("_ordinal").cast("long").alias("ordinal"))
+    attached = code_index.file_symbols(_sources(spark, sf_dir), _chunks(spark, sf_dir), with_references=False)
+    return attached.select("source_version_id", F.col("line_start").cast("long").alias("line_start"), "name", F.col("chunk.ordinal").cast("long").alias("ordinal"))
 
 
 _REL = f"""{_DECL}, body AS (SELECT s.source_version_id, s.qualified_name, s.n, string_agg(l.line, chr(10) ORDER BY l.n) AS body FROM sym s JOIN lines l ON l.source_version_id = s.source_version_id AND l.n BETWEEN s.n AND s.n + 80 GROUP BY 1, 2, 3),
@@ -70,7 +70,7 @@ def code_relationships(spark, sf_dir):
  ORDER BY lower(name), source_version_id, n LIMIT 50""",
 )
 def code_symbol_search(spark, sf_dir):
-    symbols = code_index.qualified(code_index.declarations(_sources(spark, sf_dir)))
+    symbols = code_index.declarations(_sources(spark, sf_dir))
     found = code_index.search_symbols(symbols, "Size_1 / part77", 50)
     return found.select("source_version_id", F.col("line_start").cast("long").alias("line_start"), "name", "kind")
 
@@ -83,7 +83,7 @@ def code_symbol_search(spark, sf_dir):
 )
 def bench_rank_symbols(spark, sf_dir):
     """Match strength of the symbols found for one query and the rank each strength starts at."""
-    symbols = code_index.qualified(code_index.declarations(_sources(spark, sf_dir))).withColumn("chunk_id", F.concat_ws("#", "source_version_id", "line_start"))
+    symbols = code_index.declarations(_sources(spark, sf_dir)).withColumn("chunk_id", F.concat_ws("#", "source_version_id", "line_start"))
     return code_index.match_strengths(symbols, "Size_7 Part7 class")
 
 
@@ -93,7 +93,7 @@ def bench_rank_symbols(spark, sf_dir):
 )
 def symbols_per_chunk(spark, sf_dir):
     """Qualified names declared per source version, attached to its code chunk."""
-    symbols = code_index.qualified(code_index.declarations(_sources(spark, sf_dir)))
+    symbols = code_index.declarations(_sources(spark, sf_dir))
     names = symbols.groupBy("source_version_id").agg(F.array_sort(F.collect_list(F.struct("line_start", "qualified_name")))["qualified_name"].alias("names"))
     attached = corpus.code(spark, sf_dir).select("source_version_id").join(names, "source_version_id", "left")
     return attached.select("source_version_id", F.array_join("names", ",").alias("symbol_names"))

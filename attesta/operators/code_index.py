@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import extract, ids
-from attesta.functions.text import splitlines, strip, unicode_aware
-from attesta.operators.ranking import first_per_key
+from attesta.functions.text import bound, splitlines, strip, unicode_aware
 
 # Declaration and reference patterns, and the body window.
 DECLARATIONS = {
@@ -29,17 +28,15 @@ CONFIGURATION = r"(?i)(?:os\.environ(?:\.get)?|ENV|Get-Item\s+env:|Configuration
 LOGGING = r"(?i)\b(?:logger|logging)\.(?:debug|info|warning|error|exception|critical)\b|Write-(?:Verbose|Warning|Error|Information)"
 EXCEPTIONS = r"(?i)\b(?:try|catch|except|finally)\b"
 BODY_LINES = 81
-LINE_BUCKET = 64
 
 
-def declarations(sources: DataFrame) -> DataFrame:
-    """One row per declaration with its line, signature and the references around it.
+def _declared(sources: DataFrame, with_references: bool = True) -> DataFrame:
+    """Files with ``declared``: line, signature, kind, name and references of every declaration, in order.
 
     References are read from the window after the declaration while the file is still one
     row, so neither the file nor the window is copied per symbol.
     """
     language = extract.language(F.col("source_uri"))
-    lines = splitlines(F.col("content"))
 
     def matches(line: Column) -> Column:
         found = F.array().cast("array<struct<kind:string,name:string>>")
@@ -48,59 +45,106 @@ def declarations(sources: DataFrame) -> DataFrame:
             found = F.when(F.col("language") == name, F.filter(pairs, lambda m: m["name"] != "")).otherwise(found)
         return found
 
-    per_line = F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line_number"), line.alias("line"), matches(line).alias("found")))
-    declared = F.filter(per_line, lambda x: F.size(x["found"]) > 0)
-    with_body = F.transform(
-        declared, lambda x: F.struct(x["line_number"], x["line"], x["found"], references(F.array_join(F.slice(F.col("_lines"), x["line_number"], F.lit(BODY_LINES)), "\n")).alias("refs"))
+    per_line = F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line_start"), strip(line).alias("signature"), matches(line).alias("found")))
+    on_lines = F.filter(per_line, lambda x: F.size(x["found"]) > 0)
+    none = F.array().cast("array<struct<target:string,relation_type:string>>")
+    body = lambda x: F.array_join(F.slice(F.col("_lines"), x["line_start"], F.lit(BODY_LINES)), "\n")
+    with_refs = F.transform(on_lines, lambda x: F.struct(x["line_start"], x["signature"], x["found"], (references(body(x)) if with_references else none).alias("refs")))
+    each = F.flatten(
+        F.transform(
+            with_refs,
+            lambda x: F.transform(
+                x["found"],
+                lambda m: F.struct(x["line_start"].alias("line_start"), x["signature"].alias("signature"), m["kind"].alias("kind"), m["name"].alias("name"), x["refs"].alias("refs")),
+            ),
+        )
     )
     carried = [c for c in sources.columns if c != "content"]
-    indexed = sources.withColumns({"language": language, "_lines": lines}).where(F.col("language").isNotNull())
-    exploded = indexed.select(*carried, "language", F.explode(with_body).alias("d"))
-    return exploded.select(
-        *carried, "language", F.col("d.line_number").alias("line_start"), strip(F.col("d.line")).alias("signature"), F.col("d.refs").alias("refs"), F.inline("d.found")
-    )
+    indexed = sources.withColumns({"language": language, "_lines": splitlines(F.col("content"))}).where(F.col("language").isNotNull())
+    return indexed.select(*carried, "language", each.alias("declared"))
+
+
+def _qualified(declared: Column) -> Column:
+    """The declarations with ``qualified_name``: after the last class that an earlier line declares."""
+
+    def name(x: Column, classes: Column) -> Column:
+        parent = F.try_element_at(F.filter(classes, lambda c: c["line_start"] < x["line_start"]), F.lit(-1))["name"]
+        return F.when(x["kind"].isin("function", "method") & parent.isNotNull(), F.concat_ws(".", parent, x["name"])).otherwise(x["name"])
+
+    def of(bound_: Column) -> Column:
+        classes = F.filter(bound_, lambda x: x["kind"] == "class")
+        return bound(classes, lambda c: F.transform(bound_, lambda x: x.withField("qualified_name", name(x, c))))
 
+    return bound(declared, of)
 
-def qualified(decls: DataFrame, version: str = "source_version_id") -> DataFrame:
-    """Qualify functions and methods with the last class declared on an earlier line."""
-    earlier = Window.partitionBy(version).orderBy("line_start").rangeBetween(Window.unboundedPreceding, -1)
-    parent = F.last(F.when(F.col("kind") == "class", F.col("name")), ignorenulls=True).over(earlier)
-    owned = F.col("kind").isin("function", "method")
-    return decls.withColumn("_parent", parent).withColumn("qualified_name", F.when(owned & F.col("_parent").isNotNull(), F.concat_ws(".", "_parent", "name")).otherwise(F.col("name"))).drop("_parent")
+
+def declarations(sources: DataFrame) -> DataFrame:
+    """One row per declaration with its line, signature, and qualified name; no shuffle and no references."""
+    files = _declared(sources, with_references=False)
+    return files.select(*[c for c in files.columns if c != "declared"], F.inline(_qualified(F.col("declared")))).drop("refs")
 
 
-def attach_chunks(decls: DataFrame, chunks: DataFrame) -> DataFrame:
-    """First chunk whose line range holds the declaration; declarations outside all chunks drop.
+def _placed(declared: Column, spans: Column) -> Column:
+    """The declarations inside a chunk, with ``chunk``: the first, by ordinal, whose lines hold them.
 
-    Line ranges meet through ``LINE_BUCKET``-line buckets: an equi-join on (version, bucket)
-    with the exact range as residual. Chunks without line numbers cover every line.
+    Chunks without line numbers cover every line.
+    """
+
+    def first(x: Column, ordered: Column) -> Column:
+        holds = lambda s: (F.coalesce(s["line_start"], F.lit(1)) <= x["line_start"]) & (x["line_start"] <= F.coalesce(s["line_end"], x["line_start"]))
+        return F.get(F.filter(ordered, holds), F.lit(0))
+
+    return F.filter(bound(F.array_sort(spans), lambda ordered: F.transform(declared, lambda x: x.withField("chunk", first(x, ordered)))), lambda x: x["chunk"].isNotNull())
+
+
+def _resolved(declared: Column) -> Column:
+    """References that count, and whether the whole target is declared in the file.
+
+    Calls count only when their last name part is.
+    """
+
+    def of(known: Column) -> Column:
+        counts = lambda r: (r["relation_type"] != "calls") | F.array_contains(known, F.element_at(F.split(r["target"], r"\."), -1))
+        seen = lambda refs: F.transform(F.filter(refs, counts), lambda r: r.withField("resolved", F.array_contains(known, r["target"])))
+        return F.transform(declared, lambda x: x.withField("refs", seen(x["refs"])))
+
+    names = F.array_distinct(F.concat(F.transform(declared, lambda x: x["name"]), F.transform(declared, lambda x: x["qualified_name"])))
+    return bound(names, of)
+
+
+def file_symbols(sources: DataFrame, chunks: DataFrame, with_references: bool = True) -> DataFrame:
+    """Declarations inside the chunks of their file, with ``chunk`` and resolved ``refs``.
+
+    A file's declarations and its chunks' line ranges meet in one row: both kinds of rows go through
+    one aggregate by version, so there is one exchange, and it carries names and line numbers, not
+    contents. What depends on the whole file (the class around a method, the names declared in it)
+    is looked up in that row. A class outside every chunk names no parent.
+    """
+    files = _declared(sources, with_references)
+    key = "source_version_id"
+    span = F.struct(F.col("ordinal").alias("ordinal"), "chunk_id", "locator", "line_start", "line_end").alias("span")
+    spans = chunks.select(key, span)
+    file = F.struct(*[c for c in files.columns if c != key]).alias("file")
+    both = files.select(key, file, F.lit(None).cast(spans.schema["span"].dataType).alias("span")).unionByName(spans.select(key, F.lit(None).cast(files.select(file).schema["file"].dataType).alias("file"), "span"))
+    met = both.groupBy(key).agg(F.first("file", ignorenulls=True).alias("file"), F.collect_list("span").alias("spans")).where(F.col("file").isNotNull())
+    whole = bound(bound(_placed(F.col("file.declared"), F.col("spans")), _qualified), _resolved)
+    return met.select(key, *[F.col(f"file.{c}") for c in files.columns if c not in (key, "declared")], F.inline(whole))
+
+
+def symbols(sources: DataFrame, chunks: DataFrame, with_references: bool = True) -> DataFrame:
+    """Symbol rows of ``sources`` (``source_version_id, source_uri, content`` and scope columns).
+
+    Without references ``refs`` is empty and the bodies of the symbols are not searched.
     """
-    spans = chunks.select("source_version_id", "chunk_id", F.col("ordinal").alias("_ordinal"), F.col("locator").alias("_locator"), "line_start", "line_end")
-    bounded = spans.where(F.col("line_end").isNotNull()).withColumn("_from", F.coalesce("line_start", F.lit(1)))
-    buckets = F.sequence(F.floor(F.col("_from") / LINE_BUCKET), F.floor(F.col("line_end") / LINE_BUCKET))
-    spread = bounded.select("source_version_id", "chunk_id", "_ordinal", "_locator", "_from", F.col("line_end").alias("_to"), F.explode(buckets).alias("_bucket"))
-    keyed = decls.withColumn("_bucket", F.floor(F.col("line_start") / LINE_BUCKET))
-    inside = keyed.join(spread, ["source_version_id", "_bucket"]).where(F.col("line_start").between(F.col("_from"), F.col("_to"))).drop("_bucket", "_from", "_to")
-    starts = spans.where(F.col("line_end").isNull()).withColumn("_from", F.coalesce("line_start", F.lit(1)))
-    # of the open chunks that start at one line only the first can win; those of a file are few
-    firsts = starts.groupBy("source_version_id", "_from").agg(F.min(F.struct("_ordinal", "chunk_id", "_locator")).alias("_first"))
-    open_ended = firsts.groupBy("source_version_id").agg(F.collect_list(F.struct("_from", "_first")).alias("_open"))
-    reached = F.array_min(F.transform(F.filter("_open", lambda o: o["_from"] <= F.col("line_start")), lambda o: o["_first"]))
-    anywhere = decls.join(open_ended, "source_version_id").withColumn("_first", reached).where(F.col("_first").isNotNull()).select("*", "_first.*").select(*inside.columns)
-    return first_per_key(inside.unionByName(anywhere), ["source_version_id", "line_start", "kind", "name"], ["_ordinal"])
-
-
-def symbols(sources: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Symbol rows of ``sources`` (``source_version_id, source_uri, content`` and scope columns)."""
-    attached = attach_chunks(qualified(declarations(sources)), chunks)
     line = F.col("line_start").cast("string")
-    return attached.withColumns(
+    return file_symbols(sources, chunks, with_references).withColumns(
         {
             "symbol_id": ids.index_id("sym", F.col("source_version_id"), F.col("qualified_name"), line),
-            "locator": F.concat(F.col("_locator"), F.lit(":L"), line),
+            "chunk_id": F.col("chunk.chunk_id"),
+            "locator": F.concat(F.col("chunk.locator"), F.lit(":L"), line),
             "line_end": F.col("line_start"),
         }
-    ).drop("_ordinal", "_locator")
+    ).drop("chunk")
 
 
 def references(body: Column) -> Column:
@@ -117,20 +161,10 @@ def references(body: Column) -> Column:
 
 
 def relationships(symbols_: DataFrame) -> DataFrame:
-    """References of each symbol; ``symbols_`` still carries ``refs``.
-
-    Calls count only when their last name part is declared in the same file. ``resolved`` says
-    whether the whole target is.
-    """
+    """References of each symbol, one row each; ``symbols_`` still carries ``refs``, so nothing is joined."""
     carried = [c for c in symbols_.columns if c not in ("refs", "name", "qualified_name", "kind", "signature", "line_start", "line_end")]
     rows = symbols_.select(*carried, F.inline("refs"))
-    names = symbols_.select("source_version_id", F.explode(F.array("name", "qualified_name")).alias("_known")).distinct()
-    last = F.element_at(F.split("target", r"\."), -1)
-    calls = rows.where(F.col("relation_type") == "calls").withColumn("_known", last).join(names, ["source_version_id", "_known"], "left_semi").select(*rows.columns)
-    kept = rows.where(F.col("relation_type") != "calls").unionByName(calls)
-    marked = names.select("source_version_id", F.col("_known").alias("target"), F.lit(True).alias("_declared"))
-    resolved = kept.join(marked, ["source_version_id", "target"], "left").withColumn("resolved", F.coalesce("_declared", F.lit(False))).drop("_declared")
-    return resolved.withColumn("relationship_id", ids.index_id("rel", F.col("symbol_id"), F.col("relation_type"), F.col("target")))
+    return rows.withColumn("relationship_id", ids.index_id("rel", F.col("symbol_id"), F.col("relation_type"), F.col("target")))
 
 
 def search_symbols(symbols_: DataFrame, query: str, limit: int | None, ordered: bool = True) -> DataFrame:

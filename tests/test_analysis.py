@@ -177,7 +177,7 @@ PS = "function Deploy-App {\n  Get-Item env:\"APP_HOME\"\n  Write-Error 'x'\n}"
 def test_code_index_languages(spark):
     rows = [("v1", "a/Order.java", JAVA), ("v2", "d.PS1", PS), ("v3", "x.sql", "create or replace function f.g()\ncreate temp table if not exists t1"), ("v4", "n.txt", "class Nope")]
     sources = spark.createDataFrame(rows, "source_version_id string, source_uri string, content string")
-    got = {(r.source_version_id, r.kind, r.qualified_name) for r in code_index.qualified(code_index.declarations(sources)).collect()}
+    got = {(r.source_version_id, r.kind, r.qualified_name) for r in code_index.declarations(sources).collect()}
     assert got == {("v1", "class", "Order"), ("v1", "method", "Order.total"), ("v1", "method", "Order.sum"), ("v1", "class", "Other"), ("v1", "method", "Other.run"), ("v2", "function", "Deploy-App"), ("v3", "routine", "f.g"), ("v3", "table", "t1")}
     chunks = spark.createDataFrame([("v1", "k1", 0, "l", 1, 3), ("v1", "k2", 1, "l", 4, 9), ("v2", "k3", 0, "l", None, None), ("v3", "k4", 0, "l", 2, 2)], "source_version_id string, chunk_id string, ordinal long, locator string, line_start int, line_end int")
     attached = {(r.qualified_name, r.chunk_id) for r in code_index.symbols(sources, chunks).collect()}
