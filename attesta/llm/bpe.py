@@ -28,6 +28,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,8 +81,8 @@ class Ranks:
         pairs = self.pairs[np.argsort(self.pairs[:, 0], kind="stable")]
         n = len(self.bytes_of)
         bounds = np.searchsorted(pairs[:, 0], np.arange(n + 1))
-        size = n + 4 * len(pairs)
-        owner, rank, shift = np.full(size, -1, np.int64), np.full(size, NO_RANK, np.int64), np.zeros(n, np.int64)
+        size = n + len(pairs)
+        owner, rank, shift = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(n, np.int64)
         moves = np.random.default_rng(0)
         for left in sorted(range(n), key=lambda i: bounds[i] - bounds[i + 1]):  # long rows first, while most slots are free
             rights, ranks = pairs[bounds[left] : bounds[left + 1], 1], pairs[bounds[left] : bounds[left + 1], 2]
@@ -89,7 +90,7 @@ class Ranks:
                 break
             move = 0
             while (owner[rights + move] >= 0).any():
-                move = int(moves.integers(4 * len(pairs)))
+                move = int(moves.integers(len(pairs)))
             owner[rights + move], rank[rights + move], shift[left] = left, ranks, move
         end = int(np.flatnonzero(owner >= 0).max()) + 1 if len(pairs) else 0
         return shift.tolist(), owner[: max(end, 1)].tolist(), rank[: max(end, 1)].tolist()
@@ -180,7 +181,13 @@ def frequent_pieces(docs: DataFrame, ranks: Ranks, cache_docs: int, cache_pieces
     pieces = sample.select(F.explode(F.regexp_extract_all("text", F.lit(java_pattern(ranks.pattern)), F.lit(0))).alias("piece"))
     counted = pieces.where(F.length("piece") <= CACHE_PIECE_CHARS).groupBy("piece").count()
     top = counted.orderBy(F.desc("count"), "piece").limit(cache_pieces).repartition(docs.sparkSession.sparkContext.defaultParallelism, "piece")
-    return {r["piece"]: np.array(r["ids"], "<u4").tobytes() for r in top.select("piece", encode_piece(F.col("piece"), ranks).alias("ids")).collect()}
+    # the driver keeps the description of every plan: cut those that hold the literal tables
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "20000")
+    found = top.select("piece", encode_piece(F.col("piece"), ranks).alias("ids")).toArrow()
+    del ranks.pairs, ranks.placed
+    ends = np.cumsum(pa.compute.list_value_length(found["ids"]).to_numpy())
+    coded = np.concatenate([c.flatten().to_numpy() for c in found["ids"].chunks] or [np.empty(0)]).astype("<u4").tobytes()
+    return {p.as_py(): coded[4 * a : 4 * b] for p, a, b in zip(found["piece"], [0, *ends], ends)}
 
 
 class Pieces(dict):
