@@ -275,11 +275,14 @@ TIMELINE_ORDER = ["timestamp", "source_id", "locator"]
 
 def coverage_findings(found: DataFrame, points: DataFrame, request: AuditRequest) -> DataFrame:
     """Findings about the evidence itself: its time span, or that no fact was found."""
-    classes = found.agg(F.count_distinct("classification").alias("classes"), F.coalesce(F.count_if(F.col("classification") == "fact"), F.lit(0)).alias("facts"))
-    span = points.agg(F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"), F.array_sort(F.collect_list(F.struct(*TIMELINE_ORDER, "provenance_ref")))["provenance_ref"].alias("refs"), _set("source_type").alias("types"))
+    rows = found.select("classification").unionByName(points.select(*TIMELINE_ORDER, "provenance_ref", "source_type"), allowMissingColumns=True)
+    point = F.when(F.col("timestamp").isNotNull(), F.struct(*TIMELINE_ORDER, "provenance_ref"))
+    one = rows.agg(
+        F.size(F.collect_set("classification")).alias("classes"), F.count_if(F.col("classification") == "fact").alias("facts"), F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"),
+        F.array_sort(F.collect_list(point))["provenance_ref"].alias("refs"), _set("source_type").alias("types"),
+    )
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     text = F.concat(F.lit("Evidence timeline spans "), iso("t0"), F.lit(" to "), iso("t1"), F.lit("."))
-    one = classes.withColumn("_one", F.lit(1)).join(span.withColumn("_one", F.lit(1)), "_one")
     inferred = one.where((F.col("classes") < 3) & F.col("t0").isNotNull()).select(
         *_finding("inference", text, 0.72, "inferred", "timeline", supporting=F.col("refs"), provenance=F.col("refs"), systems=F.col("types"), time_start=F.col("t0"), time_end=F.col("t1")),
         ids.audit_id("finding", F.lit("timeline"), text, F.lit(request.query)).alias("finding_id"),
@@ -297,10 +300,11 @@ def cross_source_findings(found: DataFrame, hits: DataFrame, request: AuditReque
     """
     q = F.lit(request.query)
     logs, code = _of(hits, ["log"]), _of(hits, ["code"])
-    matched = _frame_matches(logs, code).agg(_set("raw").alias("frames"), _set("locator").alias("paths"), _set("code_chunk").alias("chunks"))
+    quoted = found.where((F.col("analyzer") == "code") & (F.col("classification") == "fact")).select(F.lit(True).alias("quoted"))
+    matched = _frame_matches(logs, code).select("raw", "locator", "code_chunk").unionByName(quoted, allowMissingColumns=True)
+    matched = matched.agg(_set("raw").alias("frames"), _set("locator").alias("paths"), _set("code_chunk").alias("chunks"), F.count("quoted").alias("n_quoted"))
     text = F.concat(F.lit("Source code evidence matches the runtime stack frame(s) "), F.array_join("frames", ", "), F.lit("."))
-    quoted = found.where((F.col("analyzer") == "code") & (F.col("classification") == "fact")).select(F.lit(True).alias("_q")).limit(1)
-    frame_fact = matched.where(F.size("frames") > 0).join(quoted, F.lit(True), "left_anti").select(
+    frame_fact = matched.where((F.size("frames") > 0) & (F.col("n_quoted") == 0)).select(
         *_finding("fact", text, 0.96, "observed", "cross-source-correlation", supporting=F.col("chunks"), provenance=F.col("paths")),
         ids.audit_id("finding", F.lit("source-code"), F.array_join("chunks", ","), q).alias("finding_id"),
     )
@@ -380,8 +384,8 @@ def report(hits: DataFrame, request: AuditRequest) -> DataFrame:
     listed = found.agg(rows.alias("f"), executive_summary(found, request).alias("executive_summary"))
     moments = points.agg(F.array_sort(F.collect_list(F.struct(*TIMELINE_ORDER, "statement", "event_id"))).alias("t"))
     chains = causal_chains(found, points).agg(F.array_sort(F.collect_list("chain")).alias("causal_chains"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    joined = one(listed).join(one(moments), "_one").join(one(chains), "_one").drop("_one")
+    parts = listed.unionByName(moments, allowMissingColumns=True).unionByName(chains, allowMissingColumns=True)
+    joined = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
     line = lambda x: F.format_string("- `%s` [%s] %s\n  - Confidence: %.2f\n  - Verification: %s\n  - Evidence: %s", x["finding_id"], x["classification"], x["statement"], x["confidence"], x["verification_status"], F.coalesce(F.nullif(F.array_join(x["provenance"], ", "), F.lit("")), F.lit("none")))
     point = lambda x: F.concat(F.lit("- `"), x["timestamp"].cast("string"), F.lit("` "), x["statement"], F.lit("\n  - Evidence: `"), x["source_id"], F.lit("` `"), x["locator"], F.lit("`"))
     markdown = F.concat_ws(

@@ -50,6 +50,20 @@ def test_entry(spark):
 
 
 def test_no_cross_joins_in_heavy_queries(spark):
-    for name in ("lexical_topk", "hybrid_topk", "bench_rank_lexical", "frame_code_join", "neighbor_expansion", "domain_fan_in", "version_numbers", "dlq_attempts"):
+    for name in ("lexical_topk", "hybrid_topk", "bench_rank_lexical", "frame_code_join", "neighbor_expansion", "domain_fan_in", "version_numbers", "dlq_attempts", "audit_finding_counts", "audit_cross_source", "audit_report"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_audit_steps_join_nothing_by_constant(spark):
+    """The steps that look at all findings are read without the checkpoints between them."""
+    from attesta.plans import audit
+    from attesta.sources import corpus
+
+    request = audit.AuditRequest("billing failure timeout")
+    hits = audit.audit_hits(corpus.evidence(spark, SF), request)
+    found = audit.observations(hits, request)
+    covered = audit.coverage_findings(found, audit.timeline(hits), request)
+    for step in (covered, audit.cross_source_findings(found.unionByName(covered), hits, request)):
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
