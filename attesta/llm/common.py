@@ -14,11 +14,13 @@ from attesta.session import prepare, shared_checkpoint_dir
 
 #: Rows handed to Python at a time; texts may be long, so batches stay small.
 BATCH_ROWS = 1000
+BATCH_BYTES = 64 * 1024 * 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,8 +53,12 @@ def hash_below(key: Column, fraction: float) -> Column:
 
 
 def with_arrow_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], keep: list[str] | None = None) -> DataFrame:
-    """Append columns that ``make()(batch)`` computes; ``keep`` names the input columns that stay."""
-    kept = df.columns if keep is None else keep
+    """Append columns that ``make()(batch)`` computes; ``keep`` names the input columns that stay.
+
+    An input column named like an appended one is replaced (names differ by more than case).
+    """
+    new = {f.name.lower() for f in fields}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
     names = [f.name for f in schema.fields]
 

@@ -5,8 +5,9 @@ character n-grams: at every position the longest known n-gram ending there (4, 3
 characters) gives its log frequency, and their mean stands for the word. Log scores of a text
 add up; the score is the posterior of the best language.
 
-The model is fitted on a bounded sample: about ``SAMPLE_ROWS`` rows of each language, of at most
-``SAMPLE_CHARS`` characters, chosen by the hash of their id among rows that are not held out.
+The model is fitted on a bounded sample: about ``SAMPLE_ROWS`` rows of each language, chosen by the
+hash of their id among rows that are not held out. Texts of over ``SAMPLE_CHARS`` characters are
+learned from only where a language has no shorter one; then its shortest texts are taken.
 Words seen twice or more in the sample are known; so the model's size is bounded as well. Only
 text and labels are learned from, and only the text is used to predict.
 
@@ -51,11 +52,12 @@ class Model:
 
 
 def training_rows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    rows = docs.where(trainable(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") <= sample_chars)).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    rows = docs.where(trainable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    over = F.greatest(F.length("text") - sample_chars, F.lit(0))  # 0 for every text that is short enough
+    sizes = rows.groupBy("lang", over.alias("over")).count().groupBy("lang").agg(F.min(F.struct("over", "count")).alias("least"))
     chosen = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        chosen = chosen | ((F.col("lang") == lang) & hash_below(F.col("doc_id"), min(1.0, sample_rows / n)))
+    for lang, (least, n) in sorted((r["lang"], r["least"]) for r in sizes.collect()):  # one row for each language
+        chosen = chosen | ((F.col("lang") == lang) & (over == least) & hash_below(F.col("doc_id"), min(1.0, sample_rows / n)))
     return rows.where(chosen)
 
 

@@ -35,7 +35,8 @@ MIN_ASSIGNED = 8
 
 _IDENTIFIER = re.compile(r"""(?i:(?:user(?:name)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.ASCII)
 _RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""")
+# starts only where a run of scheme characters starts, so that a long run is read once
+_ENDPOINT = re.compile(r"""(?<![A-Za-z0-9+.-])[0-9+.-]*([A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+)""")
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 
 KINDS = ("assign", "access", "hex", "identifier", "random", "endpoint")
@@ -86,7 +87,7 @@ class Places:
 
 def linked_spans(text: str, strong: list[Span], reach: int = REACH) -> list[Span]:
     """Weak candidates whose complementary parts co-occur."""
-    endpoints = [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)] if "://" in text else []
+    endpoints = [("endpoint", m.start(1), m.end()) for m in _ENDPOINT.finditer(text)] if "://" in text else []
     names = [("identifier", m.start(), m.end()) for m in _IDENTIFIER.finditer(text)] if "=" in text or ":" in text else []
     if not (strong or endpoints or names):
         return []

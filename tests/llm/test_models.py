@@ -25,12 +25,19 @@ def test_word_first_then_shorter_grams():
 
 def test_language_edge_rows(odd_docs, no_docs, spark):
     model = language.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
-    rows = language.identify(odd_docs.drop("score"), model).collect()
+    rows = language.identify(odd_docs, model).collect()
     assert len(rows) == odd_docs.count()
     assert all((r["lang_pred"] == "und") == (not r["text"] or not any(c.isalpha() for c in r["text"])) for r in rows)
     assert language.identify(no_docs.drop("score"), language.fit(no_docs)).count() == 0
 
 
+def test_language_learns_from_the_shortest_where_all_are_long(spark):
+    rows = [(1, "lang words " * 30, "xx"), (3, "other speech " * 50, "yy"), (4, "other speech " * 5000, "yy"), (5, "12", "zz"), (6, None, "zz")]
+    model = language.fit(spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string, lang string"), sample_chars=400)
+    assert model.languages == ["xx", "yy"]
+    assert language.Scorer(model).predict("speech")[0] == "yy"
+
+
 def test_quality_accuracy_held_out(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     scored = quality_model.score(docs.select("doc_id", "text"), quality_model.fit(docs, labels)).join(labels, "doc_id").where(held_out(F.col("doc_id"))).collect()

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,6 +73,18 @@ def test_weak_parts_need_each_other():
     assert kinds("user=anna" + " x" * 200 + random) == []  # out of reach
 
 
+@pytest.mark.parametrize("text", ["see ab.c+d://x/y, 9-.http://z 12://q a:// b", "'ftp://a'https://b <s3://c>d://e", "é1://x é1a://y"])
+def test_endpoints_start_at_the_first_letter_of_a_run(text):
+    plain = [(m.start(), m.end()) for m in re.finditer(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""", text)]
+    assert [(m.start(1), m.end()) for m in secret_links._ENDPOINT.finditer(text)] == plain
+
+
+def test_long_runs_before_an_address_are_read_once():
+    began = time.monotonic()
+    assert secret_links.linked_spans("a" * 1_000_000 + " ://", []) == []
+    assert time.monotonic() - began < 10
+
+
 def test_places_look_past_any_number_of_spans():
     rng = random.Random(4)
     for _ in range(300):
