@@ -28,5 +28,5 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def load() -> None:
     from attesta.catalog import (  # noqa: F401
-        analysis, coding, correlation, extraction, identity, ingestion, retrieval, scope, search, state, storage,
+        analysis, coding, correlation, extraction, identity, ingestion, operations, retrieval, scope, search, state, storage,
     )

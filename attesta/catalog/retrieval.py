@@ -88,11 +88,16 @@ def vector_literal(spark, sf_dir):
     )
 
 
-@query("hash_embedding")
+@query(
+    "hash_embedding",
+    """SELECT doc_id, 256::BIGINT AS dimensions, n AS tokens, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_norm
+ FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_./:-]+'))::BIGINT AS n FROM documents)""",
+)
 def hash_embedding(spark, sf_dir):
-    """Digest of every document's hashing embedding (no SQL engine has blake2b)."""
-    docs = corpus.documents(spark, sf_dir).select("doc_id", V.hash_embedding(F.col("text"), 256).alias("v"))
-    return docs.select("doc_id", F.size("v").cast("long").alias("dimensions"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 4).alias("squared_norm"))
+    """Size and norm of every document's hashing embedding; a test compares the values, as SQL has no blake2b."""
+    tokens = F.coalesce(F.size(T.embedding_tokens(F.col("text"))), F.lit(0)).cast("long")
+    docs = corpus.documents(spark, sf_dir).select("doc_id", tokens.alias("tokens"), V.hash_embedding(F.col("text"), 256).alias("v"))
+    return docs.select("doc_id", F.size("v").cast("long").alias("dimensions"), "tokens", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 4).alias("squared_norm"))
 
 
 _HYBRID = f"""WITH {S.DOCS}, scored AS (SELECT chunk_id, ordinal, {_LEX} AS lexical, coalesce(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 0) AS semantic

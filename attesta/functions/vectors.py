@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attesta.functions import text as T
+
 # Hashing-embedding contract.
 EMBEDDING_DIMENSION = 768
-EMBEDDING_TOKEN = r"[A-Za-z0-9_./:-]+"
+EMBEDDING_TOKEN = T.EMBEDDING_TOKEN
 
 
 def rows_of(vectors: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,18 +82,17 @@ def l2_normalize(vector: Column) -> Column:
     return normalize(vector)
 
 
-def _token_slot(token: str, dimension: int) -> tuple[int, float]:
-    digest = blake2b(token.encode("utf-8"), digest_size=16).digest()
-    head, tail = int.from_bytes(digest[:4], "big"), int.from_bytes(digest[4:8], "big")
-    return head % dimension, 1.0 + tail / 2**32
+def _token_slots(tokens: Sequence[str], dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and weight of each token, from the first two 32-bit numbers of its digest."""
+    heads = b"".join([blake2b(t.encode("utf-8"), digest_size=16).digest()[:8] for t in tokens])
+    numbers = np.frombuffer(heads, ">u4").reshape(-1, 2)
+    return (numbers[:, 0] % dimension).astype(np.int64), 1.0 + numbers[:, 1] / 2**32
 
 
 def hash_vector(text: str, dimension: int = EMBEDDING_DIMENSION) -> list[float]:
     """Embedding of one query string on the driver."""
-    values = np.zeros(dimension)
-    for token in re.findall(EMBEDDING_TOKEN, text):
-        slot, weight = _token_slot(token.lower(), dimension)
-        values[slot] += weight
+    slots, weights = _token_slots([t.lower() for t in re.findall(EMBEDDING_TOKEN, text)], dimension)
+    values = np.bincount(slots, weights=weights, minlength=dimension).astype(np.float64)  # counts, if there is no token
     length = float(np.sqrt(values @ values))
     return (values / length if length else values).tolist()
 
@@ -99,25 +100,23 @@ def hash_vector(text: str, dimension: int = EMBEDDING_DIMENSION) -> list[float]:
 def hash_embedding(text: Column, dimension: int = EMBEDDING_DIMENSION) -> Column:
     """Deterministic bag-of-tokens embedding as ARRAY<FLOAT>.
 
-    Digest slots are memoised per task, so a repeated token is hashed once per batch stream.
+    Tokens are taken in the JVM. A batch hashes each of its distinct tokens once and adds all
+    weights up in one pass over the token codes.
     """
 
     @F.arrow_udf("array<float>")
-    def embed(texts: pa.Array) -> pa.Array:
-        slots: dict[str, tuple[int, float]] = {}
-        matrix = np.zeros((len(texts), dimension))
-        for row, value in enumerate(texts.to_pylist()):
-            for token in re.findall(EMBEDDING_TOKEN, value or ""):
-                token = token.lower()
-                slot = slots.get(token)
-                if slot is None:
-                    slot = slots[token] = _token_slot(token, dimension)
-                matrix[row, slot[0]] += slot[1]
+    def embed(tokens: pa.Array) -> pa.Array:
+        sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        coded = tokens.flatten().dictionary_encode()
+        slots, weights = _token_slots(coded.dictionary.to_pylist(), dimension)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = np.repeat(np.arange(len(tokens)) * dimension, sizes) + slots[code]
+        matrix = np.bincount(cells, weights=weights[code], minlength=len(tokens) * dimension).astype(np.float64).reshape(-1, dimension)
         matrix /= norms(matrix)[:, None]
-        offsets = np.arange(0, (len(texts) + 1) * dimension, dimension, dtype=np.int32)
+        offsets = np.arange(0, (len(tokens) + 1) * dimension, dimension, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel().astype(np.float32)))
 
-    return embed(text)
+    return embed(T.embedding_tokens(text))
 
 
 def to_literal(vector: Column) -> Column:

@@ -13,25 +13,49 @@ def normalized_path(path: Column) -> Column:
     return F.split(F.replace(path, F.lit("\\"), F.lit("/")), "[:#]", 2)[0]
 
 
-def _suffixes(path: Column) -> Column:
-    """All non-empty character suffixes of a path."""
-    length = F.char_length(path)
-    return F.when(length > 0, F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(path, i, length))).otherwise(F.array().cast("array<string>"))
+def _tails(parts: Column) -> Column:
+    """The last 1, 2, ... components of a path, without the whole path."""
+    n = F.size(parts)
+    some = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "/"))
+    return F.when(n > 1, some).otherwise(F.array().cast("array<string>"))
+
+
+def _endings(name: Column) -> Column:
+    """All non-empty character suffixes of a name."""
+    length = F.char_length(name)
+    some = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(name, i, length))
+    return F.when(length > 0, some).otherwise(F.array().cast("array<string>"))
+
+
+def suffix_pairs(short: DataFrame, long: DataFrame) -> DataFrame:
+    """``short, long``: distinct paths of which the first ends the second.
+
+    A path of several components can only end another one whose last components equal all but its
+    first, so those are the join key: one key for a short path, one for each component of a long
+    one; the end itself is verified. A bare name ends inside the last component: it meets the
+    endings of the distinct names. An empty path ends nothing.
+    """
+    s = short.where("short <> ''").withColumn("_parts", F.split("short", "/"))
+    l = long.withColumn("_parts", F.split("long", "/"))
+    keyed = s.where(F.size("_parts") > 1).select("short", F.array_join(F.slice("_parts", F.lit(2), F.size("_parts") - 1), "/").alias("_key"))
+    deep = l.select("long", F.explode(_tails(F.col("_parts"))).alias("_key")).join(keyed, "_key").where(F.endswith("long", "short")).select("short", "long")
+    named = l.select("long", F.element_at("_parts", -1).alias("_name"))
+    bare = named.select("_name").distinct().select("_name", F.explode(_endings(F.col("_name"))).alias("short")).join(s.where(F.size("_parts") == 1).select("short"), "short")
+    return deep.unionByName(named.join(bare, "_name").select("short", "long"))
 
 
 def frames_to_code(frames: DataFrame, code: DataFrame) -> DataFrame:
     """Stack frames and code whose paths are suffixes of one another, without a cross join.
 
-    ``frames`` has ``path``, ``code`` has ``locator``. Only distinct paths are compared: every
-    suffix of the longer path is probed for equality with the whole shorter one, so the join
-    produces matches and nothing else, however often a file name repeats.
+    ``frames`` has ``path``, ``code`` has ``locator``. Only distinct paths are compared, in both
+    directions.
     """
     f = frames.withColumn("_fp", F.replace(F.col("path"), F.lit("\\"), F.lit("/")))
     c = code.withColumn("_cp", normalized_path(F.col("locator")))
     fp, cp = f.select("_fp").distinct(), c.select("_cp").distinct()
-    frame_in_code = cp.select("_cp", F.explode(_suffixes(F.col("_cp"))).alias("_fp")).join(fp, "_fp").select("_fp", "_cp")
-    code_in_frame = fp.select("_fp", F.explode(_suffixes(F.col("_fp"))).alias("_cp")).join(cp, "_cp").select("_fp", "_cp")
-    pairs = frame_in_code.unionByName(code_in_frame).distinct()
+    in_code = suffix_pairs(fp.select(F.col("_fp").alias("short")), cp.select(F.col("_cp").alias("long"))).select(F.col("short").alias("_fp"), F.col("long").alias("_cp"))
+    in_frame = suffix_pairs(cp.select(F.col("_cp").alias("short")), fp.select(F.col("_fp").alias("long"))).select(F.col("long").alias("_fp"), F.col("short").alias("_cp"))
+    pairs = in_code.unionByName(in_frame).distinct()
     return f.join(pairs, "_fp").join(c, "_cp").select(*frames.columns, *code.columns)
 
 

@@ -160,3 +160,12 @@ def test_latest_and_first_per_key(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, None)], "k string, s int, v string")
     assert {r.k: r.v for r in ranking.latest_per_key(df, ["k"], ["s"]).collect()} == {"a": "y", "b": None}
     assert {r.k: r.v for r in ranking.first_per_key(df, ["k"], ["s"]).collect()} == {"a": "x", "b": None}
+
+
+def test_frames_and_code_of_many_shapes(spark):
+    heads, tails = ["", "a", "b/", "ab/", "/", "x/ab/", "\\"], ["c.py", "bc.py", "b/c.py", "ab/c.py", "c", "", "/", "é/c.py"]
+    paths = sorted({h + t for h in heads for t in tails})
+    norm = lambda p: p.replace("\\", "/")
+    expected = {(f, c) for f in paths for c in paths if norm(f) and norm(c) and (norm(c).endswith(norm(f)) or norm(f).endswith(norm(c)))}
+    f, c = (spark.createDataFrame([(p,) for p in paths], f"{name} string") for name in ("path", "locator"))
+    assert {(r.path, r.locator) for r in joins.frames_to_code(f, c).collect()} == expected

@@ -39,3 +39,11 @@ def test_vector_literal_round_trip(spark):
 def test_batch_limit():
     assert V.batch_limit(768, None) == 1
     assert V.batch_limit(768, 768 * 16 * 5) == 5
+
+
+def test_hash_embedding_of_a_batch_with_nulls(spark):
+    texts = ["a b a A", None, "", "été x", "one two three " * 50]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = {r.i: r.v for r in rows.select("i", V.hash_embedding(F.col("t"), 16).alias("v")).collect()}
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i], V.hash_vector(t or "", 16), atol=1e-6)
