@@ -169,3 +169,15 @@ def test_frames_and_code_of_many_shapes(spark):
     expected = {(f, c) for f in paths for c in paths if norm(f) and norm(c) and (norm(c).endswith(norm(f)) or norm(f).endswith(norm(c)))}
     f, c = (spark.createDataFrame([(p,) for p in paths], f"{name} string") for name in ("path", "locator"))
     assert {(r.path, r.locator) for r in joins.frames_to_code(f, c).collect()} == expected
+
+
+def test_paths_are_merged_not_broadcast(spark):
+    """Only the distinct lengths of bare names, one table for each direction, may go to every task."""
+    f = spark.createDataFrame([("src/a.py",), ("a.py",), ("/srv/lib/util.js",)], "path string")
+    c = spark.createDataFrame([("repo/src/a.py:L1",), ("lib/util.js",), ("util.js",)], "locator string")
+    joined = joins.frames_to_code(f, c)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 2 and plan.count("SortMergeJoin") == 8
+    assert {tuple(r) for r in joined.collect()} == {
+        ("src/a.py", "repo/src/a.py:L1"), ("a.py", "repo/src/a.py:L1"), ("/srv/lib/util.js", "lib/util.js"), ("/srv/lib/util.js", "util.js"),
+    }
