@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import extract
+from attesta.functions.text import bound
 
 # The keys of each field, and the words of the text form.
 KEYS = {
@@ -47,22 +48,25 @@ def _kind(value: Column) -> Column:
 
 def _holds_something(value: Column) -> Column:
     """Not null, not empty, not zero and not false."""
-    kind, text = _kind(value), value.cast("string")
+    text = value.cast("string")
     number = F.coalesce(F.try_variant_get(value, "$", "double") != 0, F.lit(True))
-    return F.coalesce(
-        F.when(kind == "VOID", F.lit(False))
-        .when(kind == "BOOLEAN", text == "true")
-        .when(kind == "STRING", text != "")
-        .when(kind.startswith("ARRAY"), text != "[]")
-        .when(kind.startswith("OBJECT"), text != "{}")
-        .otherwise(number),
-        F.lit(False),
-    )
+
+    def of(kind: Column) -> Column:
+        return (
+            F.when(kind == "VOID", F.lit(False))
+            .when(kind == "BOOLEAN", text == "true")
+            .when(kind == "STRING", text != "")
+            .when(kind.startswith("ARRAY"), text != "[]")
+            .when(kind.startswith("OBJECT"), text != "{}")
+            .otherwise(number)
+        )
+
+    return F.coalesce(bound(_kind(value), of), F.lit(False))
 
 
 def _field(mapping: Column, names: Sequence[str]) -> Column:
     each = [F.try_variant_get(mapping, f"$.{n}", "variant") for n in names]
-    return F.coalesce(*[F.when(_holds_something(v), v) for v in each])
+    return F.coalesce(*[bound(v, lambda x: F.when(_holds_something(x), x)) for v in each])
 
 
 def _items(text: Column) -> Column:
@@ -71,24 +75,26 @@ def _items(text: Column) -> Column:
 
 
 def _list(value: Column) -> Column:
-    array = F.filter(F.try_variant_get(value, "$", "array<string>"), lambda x: x.isNotNull() & (x != ""))
-    return F.coalesce(F.when(_kind(value).startswith("ARRAY"), array).otherwise(_items(value.cast("string"))), _no_items())
+    def of(v: Column) -> Column:
+        array = F.filter(F.try_variant_get(v, "$", "array<string>"), lambda x: x.isNotNull() & (x != ""))
+        return F.when(_kind(v).startswith("ARRAY"), array).otherwise(_items(v.cast("string")))
+
+    return F.coalesce(bound(value, of), _no_items())
 
 
-def _mention(text: Column, names: Sequence[str]) -> Column:
+def _mention(text: Column, lowered: Column, names: Sequence[str]) -> Column:
     """First line after the first of the names that is mentioned."""
     found = F.lit("")
     for name in reversed(names):
-        at = F.instr(F.lower(text), f"{name}:")
+        at = F.instr(lowered, f"{name}:")
         rest = F.regexp_replace(F.substr(text, at + len(name) + 1), r"^\s+", "")
         line = F.regexp_replace(F.regexp_extract(rest, r"^[^\r\n]*", 0), r"\s+$", "")
         found = F.when(at > 0, line).otherwise(found)
     return found
 
 
-def _said(text: Column, words: Sequence[str]) -> Column:
+def _said(lowered: Column, words: Sequence[str]) -> Column:
     """Those of the words that the text holds, with a blank in place of a hyphen as well."""
-    lowered = F.lower(text)
     each = [F.when(F.contains(lowered, F.lit(w)) | F.contains(lowered, F.lit(w.replace("-", " "))), F.lit(w)) for w in words]
     return F.array_compact(F.array(*each))
 
@@ -110,25 +116,28 @@ def _from_mapping(request: Column, mapping: Column) -> Column:
 
 
 def _from_text(request: Column) -> Column:
-    text = F.regexp_replace(request, r"^\s+|\s+$", "")
-    lowered = F.lower(text)
-    live = F.lit(False)
-    for word in LIVE_WORDS:
-        live = live | F.contains(lowered, F.lit(word))
     no_time = F.lit(None).cast("timestamp")
-    return F.struct(
-        F.lit("text").alias("form"),
-        text.alias("query"),
-        _mention(text, MENTIONS["scope"]).alias("scope"),
-        *[_items(_mention(text, MENTIONS[n])).alias(n) for n in ("systems", "components", "symptoms")],
-        _said(text, OUTPUTS).alias("outputs"),
-        F.regexp_extract_all(text, F.lit(extract.unicode_aware(extract.CORRELATION_ID)), F.lit(1)).alias("correlation_ids"),
-        _said(text, SOURCE_TYPES).alias("source_types"),
-        no_time.alias("since"),
-        no_time.alias("until"),
-        live.alias("live_verification"),
-        F.create_map().cast("map<string,string>").alias("unknown"),
-    )
+
+    def fields(text: Column, lowered: Column) -> Column:
+        live = F.lit(False)
+        for word in LIVE_WORDS:
+            live = live | F.contains(lowered, F.lit(word))
+        return F.struct(
+            F.lit("text").alias("form"),
+            text.alias("query"),
+            _mention(text, lowered, MENTIONS["scope"]).alias("scope"),
+            *[_items(_mention(text, lowered, MENTIONS[n])).alias(n) for n in ("systems", "components", "symptoms")],
+            _said(lowered, OUTPUTS).alias("outputs"),
+            F.regexp_extract_all(text, F.lit(extract.unicode_aware(extract.CORRELATION_ID)), F.lit(1)).alias("correlation_ids"),
+            _said(lowered, SOURCE_TYPES).alias("source_types"),
+            no_time.alias("since"),
+            no_time.alias("until"),
+            live.alias("live_verification"),
+            F.create_map().cast("map<string,string>").alias("unknown"),
+        )
+
+    # the long text is stripped and lower-cased once, not once for each of the words looked for
+    return bound(F.regexp_replace(request, r"^\s+|\s+$", ""), lambda text: bound(F.lower(text), lambda lowered: fields(text, lowered)))
 
 
 def parse_requests(requests: DataFrame, column: str = "request") -> DataFrame:

@@ -105,3 +105,13 @@ def test_replay_goes_on_where_it_broke_off(spark, tmp_path):
     assert sorted(r.event_id for r in once.collect()) == list(range(20))
     spool.replay_spool(spark, files, target, checkpoint, events.schema, 1, breaks_at_third)
     assert len(seen) == 5  # nothing new, nothing done
+
+
+def test_a_long_text_is_prepared_once(spark):
+    """Stripping and lower-casing stand once in the plan, however many words are looked for."""
+    rows = spark.createDataFrame([(1, " System: a, b\nTimeline of the DATABASE; log ")], "i int, request string")
+    parsed = R.parse_requests(rows)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("regexp_replace(request") == 1
+    got = parsed.first().parsed
+    assert (got.query, got.systems, got.outputs, got.source_types, got.live_verification) == ("System: a, b\nTimeline of the DATABASE; log", ["a", "b"], ["timeline"], ["log"], True)
