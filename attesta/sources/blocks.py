@@ -8,7 +8,7 @@ alone and the result is exploded in the JVM.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -22,6 +22,9 @@ from attesta.functions.text import chunk_locator
 CHUNK_CHARS = 900
 LINE_BLOCK_CHARS = 1200
 
+#: Texts that one call of a packing function holds as Python objects; the Arrow batch around them is bounded by ``prepare``.
+TEXTS_AT_ONCE = 64
+
 BLOCK_TYPE = "array<struct<ordinal:int,text:string,line_start:int,line_end:int>>"
 _ARROW_BLOCK = pa.list_(
     pa.struct([("ordinal", pa.int32()), ("text", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())])
@@ -61,16 +64,21 @@ def text_blocks(text: str, limit: int, *, newline: int, overshoot: bool, overlap
     return found
 
 
+def _packed(texts: pa.Array, blocks_of: Callable[[str], list[dict]]) -> pa.Array:
+    """The blocks of each text; few texts at a time are Python objects, the rest stays in Arrow."""
+    parts = []
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        some = texts.slice(at, TEXTS_AT_ONCE).to_pylist()
+        parts.append(pa.array([None if t is None else blocks_of(t) for t in some], type=_ARROW_BLOCK))
+    return pa.concat_arrays(parts) if parts else pa.array([], type=_ARROW_BLOCK)
+
+
 def chunk_blocks(text: Column, max_chars: int = CHUNK_CHARS, overlap: int = 0) -> Column:
     """Default chunking: blocks stay within ``max_chars`` unless one line alone is longer."""
 
     @F.arrow_udf(BLOCK_TYPE)
     def chunks(texts: pa.Array) -> pa.Array:
-        rows = [
-            None if t is None else text_blocks(t, max_chars, newline=1, overshoot=False, overlap=overlap, keep_whole=True)
-            for t in texts.to_pylist()
-        ]
-        return pa.array(rows, type=_ARROW_BLOCK)
+        return _packed(texts, lambda t: text_blocks(t, max_chars, newline=1, overshoot=False, overlap=overlap, keep_whole=True))
 
     return chunks(text)
 
@@ -80,8 +88,7 @@ def line_blocks(text: Column, max_chars: int = LINE_BLOCK_CHARS) -> Column:
 
     @F.arrow_udf(BLOCK_TYPE)
     def blocks(texts: pa.Array) -> pa.Array:
-        rows = [None if t is None else text_blocks(t, max_chars, newline=0, overshoot=True) for t in texts.to_pylist()]
-        return pa.array(rows, type=_ARROW_BLOCK)
+        return _packed(texts, lambda t: text_blocks(t, max_chars, newline=0, overshoot=True))
 
     return blocks(text)
 

@@ -40,3 +40,20 @@ def test_overlap_rereads_lines_and_ends():
     lines = [f"line{i}" for i in range(6)]
     spans = list(B.block_spans(lines, 12, newline=1, overshoot=False, overlap=1))
     assert spans[0] == (0, 2) and spans[-1][1] == 6 and all(b > a for a, b in spans)
+
+
+def test_few_texts_are_python_objects_at_a_time(spark):
+    """Batches are bounded by rows and bytes, and blocks go back to Arrow after TEXTS_AT_ONCE texts."""
+    import pyarrow as pa
+
+    from attesta.session import BATCH_CONF, prepare
+
+    texts = ["a\n\nb", None, "", "c"] * B.TEXTS_AT_ONCE
+    packed = B._packed(pa.array(texts, pa.string()), lambda t: B.text_blocks(t, 900, newline=1, overshoot=False))
+    assert [None if p is None else [x["text"] for x in p] for p in packed.to_pylist()] == [["a", "b"], None, [], ["c"]] * B.TEXTS_AT_ONCE
+    assert B._packed(pa.array([], pa.string()), lambda t: []).type == packed.type
+    for key in BATCH_CONF:
+        spark.conf.unset(key)
+    prepare(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 * 1024 * 1024
