@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import ranking
 from attesta.operators.filters import RetrievalFilters, compile_filters
+from attesta.session import cut_lineage
 from attesta.sources import corpus
 
 # Benchmark modes and cut-off.
@@ -44,8 +45,9 @@ def relevance(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     asked = queries.where(F.length("text") > 0).select("query_id", F.col("text").alias("passage"), words.alias("words"))
     inner = asked.where(F.size("words") > 2).select("query_id", F.explode(F.array_distinct(F.slice("words", F.lit(2), F.size("words") - 2))).alias("word"))
-    offered = chunks.select("source_id", F.explode(F.array_distinct(words)).alias("word"))
-    often = offered.join(inner.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # texts are taken apart once; words that no passage is joined on go no further
+    offered = cut_lineage(chunks.select("source_id", F.explode(F.array_distinct(words)).alias("word")).join(inner.select("word").distinct(), "word"))
+    often = offered.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     # a word without any occurrence makes the best anchor: it rules its passage out
     anchors = inner.join(often, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word"))
     meeting = offered.join(anchors, "word").select("query_id", "source_id").distinct()

@@ -200,3 +200,13 @@ def test_benchmark_modes(spark):
     summary = {r["mode"]: (r.query_count, r.recall_at_k, r.mrr) for r in B.summarize(metrics).collect()}
     assert summary == {"lexical": (3, 1.0, 1.0), "vector": (2, 1.0, 1.0), "hybrid": (2, 1.0, 1.0), "symbol_aware": (1, 1.0, 1.0)}
     assert ranked.where("mode = 'symbol_aware'").count() == 1
+
+
+def test_relevance_takes_texts_apart_once(spark):
+    from attesta.plans import benchmark
+
+    chunks = spark.createDataFrame([("s1", "one two three four"), ("s2", "two three"), ("s3", "none")], "source_id string, text string")
+    queries = spark.createDataFrame([("q1", "one two three"), ("q2", "two three"), ("q3", "x y z")], "query_id string, text string")
+    found = benchmark.relevance(chunks, queries)
+    assert "explode(array_distinct(regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("q1", "s1"), ("q2", "s1"), ("q2", "s2")}
