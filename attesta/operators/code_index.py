@@ -22,11 +22,12 @@ DECLARATIONS = {
     "powershell": [("function", r"(?i)^\s*function\s+([\w.-]+)")],
 }
 IMPORTS = r"(?im)^\s*(?:import|from)\s+([\w.:-]+)"
-CALLS = r"\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)\s*\("
-ENDPOINTS = r"(?i)(?:@(?:app|router)\.(?:get|post|put|delete)|(?:GET|POST|PUT|DELETE)\s+)(?:\(|\s+)?[\"']([^\"']+)"
-CONFIGURATION = r"(?i)(?:os\.environ(?:\.get)?|ENV|Get-Item\s+env:|Configuration(?:Manager)?[.]AppSettings)\s*[(\[]?\s*[\"']([A-Z][A-Z0-9_.-]+)"
-LOGGING = r"(?i)\b(?:logger|logging)\.(?:debug|info|warning|error|exception|critical)\b|Write-(?:Verbose|Warning|Error|Information)"
-EXCEPTIONS = r"(?i)\b(?:try|catch|except|finally)\b"
+# The first test at a place is what a match may begin with: boundaries and the case folding of alternatives are dear.
+CALLS = r"(?=[A-Za-z_])\b([A-Za-z_]\w*+(?:\.[A-Za-z_]\w*+)?)\s*+\("
+ENDPOINTS = r"(?i)(?=[@DGPdgp])(?:@(?:app|router)\.(?:get|post|put|delete)|(?:GET|POST|PUT|DELETE)\s+)(?:\(|\s+)?[\"']([^\"']+)"
+CONFIGURATION = r"(?i)(?=[CEGOcego])(?:os\.environ(?:\.get)?|ENV|Get-Item\s+env:|Configuration(?:Manager)?[.]AppSettings)\s*[(\[]?\s*[\"']([A-Z][A-Z0-9_.-]+)"
+LOGGING = r"(?i)(?=[LWlw])(?:\b(?:logger|logging)\.(?:debug|info|warning|error|exception|critical)\b|Write-(?:Verbose|Warning|Error|Information))"
+EXCEPTIONS = r"(?i)(?=[CEFTceft])\b(?:try|catch|except|finally)\b"
 BODY_LINES = 81
 
 
@@ -45,11 +46,11 @@ def _declared(sources: DataFrame, with_references: bool = True) -> DataFrame:
             found = F.when(F.col("language") == name, F.filter(pairs, lambda m: m["name"] != "")).otherwise(found)
         return found
 
-    per_line = F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line_start"), strip(line).alias("signature"), matches(line).alias("found")))
+    per_line = F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line_start"), line.alias("line"), matches(line).alias("found")))
     on_lines = F.filter(per_line, lambda x: F.size(x["found"]) > 0)
     none = F.array().cast("array<struct<target:string,relation_type:string>>")
     body = lambda x: F.array_join(F.slice(F.col("_lines"), x["line_start"], F.lit(BODY_LINES)), "\n")
-    with_refs = F.transform(on_lines, lambda x: F.struct(x["line_start"], x["signature"], x["found"], (references(body(x)) if with_references else none).alias("refs")))
+    with_refs = F.transform(on_lines, lambda x: F.struct(x["line_start"], strip(x["line"]).alias("signature"), x["found"], (bound(body(x), references) if with_references else none).alias("refs")))
     each = F.flatten(
         F.transform(
             with_refs,
@@ -115,20 +116,22 @@ def _resolved(declared: Column) -> Column:
 def file_symbols(sources: DataFrame, chunks: DataFrame, with_references: bool = True) -> DataFrame:
     """Declarations inside the chunks of their file, with ``chunk`` and resolved ``refs``.
 
-    A file's declarations and its chunks' line ranges meet in one row: both kinds of rows go through
-    one aggregate by version, so there is one exchange, and it carries names and line numbers, not
-    contents. What depends on the whole file (the class around a method, the names declared in it)
-    is looked up in that row. A class outside every chunk names no parent.
+    A file and its chunks' line ranges meet in one row: both kinds of rows go through one aggregate
+    by version, so there is one exchange. Files cross it whole and are searched behind it, because
+    a table of small files may be read by a single task. What depends on the whole file (the class
+    around a method, the names declared in it) is looked up in that row. A class outside every
+    chunk names no parent.
     """
-    files = _declared(sources, with_references)
     key = "source_version_id"
-    span = F.struct(F.col("ordinal").alias("ordinal"), "chunk_id", "locator", "line_start", "line_end").alias("span")
-    spans = chunks.select(key, span)
-    file = F.struct(*[c for c in files.columns if c != key]).alias("file")
-    both = files.select(key, file, F.lit(None).cast(spans.schema["span"].dataType).alias("span")).unionByName(spans.select(key, F.lit(None).cast(files.select(file).schema["file"].dataType).alias("file"), "span"))
-    met = both.groupBy(key).agg(F.first("file", ignorenulls=True).alias("file"), F.collect_list("span").alias("spans")).where(F.col("file").isNotNull())
-    whole = bound(bound(_placed(F.col("file.declared"), F.col("spans")), _qualified), _resolved)
-    return met.select(key, *[F.col(f"file.{c}") for c in files.columns if c not in (key, "declared")], F.inline(whole))
+    carried = [c for c in sources.columns if c != key]
+    files = sources.where(extract.language(F.col("source_uri")).isNotNull()).select(key, F.struct(*carried).alias("file"))
+    spans = chunks.select(key, F.struct(F.col("ordinal").alias("ordinal"), "chunk_id", "locator", "line_start", "line_end").alias("span"))
+    missing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = files.select(key, "file", missing(spans, "span")).unionByName(spans.select(key, missing(files, "file"), "span"))
+    met = both.groupBy(key).agg(F.first("file", ignorenulls=True).alias("file"), F.collect_list("span").alias("_spans")).where(F.col("file").isNotNull())
+    found = _declared(met.select(key, *[F.col(f"file.{c}").alias(c) for c in carried], "_spans"), with_references)
+    whole = bound(bound(_placed(F.col("declared"), F.col("_spans")), _qualified), _resolved)
+    return found.select(*[c for c in found.columns if c not in ("_spans", "declared")], F.inline(whole))
 
 
 def symbols(sources: DataFrame, chunks: DataFrame, with_references: bool = True) -> DataFrame:

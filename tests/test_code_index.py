@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from attesta.operators import code_index
 
@@ -62,3 +64,33 @@ def test_equals_plain_loops(spark):
         assert {(r.name, r.qualified_name, r.line_start, r.chunk_id) for r in rows if r.source_version_id == version} == want
         assert {(r.q, r.n, r.relation_type, r.target, r.resolved) for r in relations if r.source_version_id == version and r.relation_type in ("imports", "calls")} == refs
     assert {r.locator for r in rows if r.qualified_name == "A.one"} == {"loc:L5"}
+
+
+def test_files_are_searched_behind_the_exchange(spark):
+    """A table that one task reads is searched by all: no pattern is looked for below the exchange."""
+    for name in ("code_symbols", "code_relationships"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        above, below = plan.split("Aggregate [source_version_id", 1)
+        assert "async" in above and "async" not in below, name
+
+
+def test_references_begin_where_they_did(spark):
+    """Patterns that test the first character of a match first find the same matches."""
+    plain = {
+        "calls": r"\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)\s*\(",
+        "endpoint": r"(?i)(?:@(?:app|router)\.(?:get|post|put|delete)|(?:GET|POST|PUT|DELETE)\s+)(?:\(|\s+)?[\"']([^\"']+)",
+        "configuration": r"(?i)(?:os\.environ(?:\.get)?|ENV|Get-Item\s+env:|Configuration(?:Manager)?[.]AppSettings)\s*[(\[]?\s*[\"']([A-Z][A-Z0-9_.-]+)",
+    }
+    flags = {"logging": r"(?i)\b(?:logger|logging)\.(?:debug|info|warning|error|exception|critical)\b|Write-(?:Verbose|Warning|Error|Information)", "exception_handling": r"(?i)\b(?:try|catch|except|finally)\b"}
+    bodies = [
+        "a.b.c (x) é.f(1) fé(2) _g\n(3) h . i(4) 5j(6) k.7(8)", "@App.GET('/x') poſt \"/y\" DELETE   (\"/z\") xput '/w'", "OS.environ.get('KEY') env[\"K2\"] os.envİron('K3') ConfigurationManager.AppSettings[\"K.4\"] get-item env: 'K5'",
+        "mylogger.error(x)", "LOGGER.Info", "xWrite-verbose", "retry", "caſch fINALLY", "", "logging.criticalx", "écatch", "TRY",
+    ]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string").select(
+        "body", code_index.references(F.col("body")).alias("refs"),
+        *[F.array_distinct(F.regexp_extract_all("body", F.lit("(?U)" + p), F.lit(1))).alias(n) for n, p in plain.items()], *[F.rlike("body", F.lit("(?U)" + p)).alias(n) for n, p in flags.items()],
+    )
+    for r in df.collect():
+        for name in plain:
+            assert [x.target for x in r.refs if x.relation_type == name] == r[name], (name, r.body)
+        assert {x.relation_type for x in r.refs} & set(flags) == {n for n in flags if r[n]}, r.body
