@@ -19,6 +19,7 @@ LEXICAL_COMPONENT = r"[._/:+\-\n]+"
 EMBEDDING_TOKEN = r"[A-Za-z0-9_./:-]+"
 WORD_TOKEN = r"[\p{L}\p{N}_./:-]+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+SHARP_S = "ß"
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
@@ -43,14 +44,26 @@ def extra_foldings() -> tuple[dict[str, str], dict[str, str]]:
 
 
 def casefold(text: Column) -> Column:
-    """Full case folding; texts without any of the special characters are only lower-cased."""
+    """Full case folding; texts without any of the special characters are only lower-cased.
+
+    A character that becomes several is one pass over the text, so only the sharp s is replaced
+    in every special text, and the others where one of them is left.
+    """
     single, several = extra_foldings()
-    folded = F.translate(text, "".join(single), "".join(single.values()))
-    for raw, plain in several.items():
-        folded = F.replace(folded, F.lit(raw), F.lit(plain))
+    rare = {raw: plain for raw, plain in several.items() if raw != SHARP_S}
+
+    def without_rare(common: Column) -> Column:
+        replaced = common
+        for raw, plain in rare.items():
+            replaced = F.replace(replaced, F.lit(raw), F.lit(plain))
+        return F.when(F.translate(common, "".join(rare), "") == common, common).otherwise(replaced)
+
+    translated = F.translate(text, "".join(single), "".join(single.values()))
+    folded = bound(F.replace(translated, F.lit(SHARP_S), F.lit(several[SHARP_S])), without_rare)
     # one table look-up a character; a class of some 300 characters would be tested one after the other
+    ascii_only = F.octet_length(text) == F.char_length(text)
     plain = F.translate(text, "".join([*single, *several]), "") == text
-    return F.lower(F.when(plain, text).otherwise(folded))
+    return F.lower(F.when(ascii_only, text).when(plain, text).otherwise(folded))
 
 
 def splitlines(text: Column) -> Column:

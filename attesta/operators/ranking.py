@@ -300,12 +300,14 @@ def rank_many_by_term(corpus: DataFrame, queries: DataFrame, k: int, text: str =
     order; at most k - 1 of those can be matches already, so the first 2k - 1 chunks suffice.
     """
     terms = F.col("terms") if "terms" in corpus.columns else T.lexical_terms(F.col(text))
-    chunks = corpus.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"), terms.alias("terms"))
+    chunks = corpus.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"))
+    # exploded where they are made: a filter on a column of terms would be pushed below it and make them three times
+    held_terms = corpus.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"), F.explode(terms).alias("term"))
     asked_terms = queries.select("query_id", T.lexical_terms(F.col("text")).alias("terms"))
     vocabulary = cut_lineage(asked_terms.select(F.explode("terms").alias("term")).distinct().withColumn("id", F.monotonically_increasing_id()))
     wanted = asked_terms.select("query_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).join(vocabulary, "term").drop("term")
     # texts go no further: from here on a term is a number, and terms that nobody asks for are gone
-    postings = cut_lineage(chunks.select("chunk_id", "ordinal", F.explode("terms").alias("term")).join(vocabulary, "term").drop("term"))
+    postings = cut_lineage(held_terms.join(vocabulary, "term").drop("term"))
     held = cut_lineage(postings.groupBy("chunk_id", "ordinal").agg(F.collect_list("id").alias("ids")))
     asked = cut_lineage(wanted.groupBy("query_id", "size").agg(F.collect_list("id").alias("asked")))
     ordered = cut_lineage(rarest_first(postings, wanted))

@@ -181,3 +181,13 @@ def test_paths_are_merged_not_broadcast(spark):
     assert {tuple(r) for r in joined.collect()} == {
         ("src/a.py", "repo/src/a.py:L1"), ("a.py", "repo/src/a.py:L1"), ("/srv/lib/util.js", "lib/util.js"), ("/srv/lib/util.js", "util.js"),
     }
+
+
+def test_terms_of_a_chunk_are_made_once(spark, monkeypatch):
+    _, df = corpus(spark, 20)
+    table = spark.createDataFrame([("a", "alpha gamma")], "query_id string, text string")
+    plans, cut = [], ranking.cut_lineage
+    monkeypatch.setattr(ranking, "cut_lineage", lambda part: plans.append(part._jdf.queryExecution().optimizedPlan().toString()) or cut(part))
+    ranking.rank_many_by_term(df.select("chunk_id", "ordinal", "text"), table, 5)
+    postings = next(p for p in plans if "ordinal" in p and "regexp_extract_all" in p)
+    assert postings.count("regexp_extract_all") == 1

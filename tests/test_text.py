@@ -149,3 +149,12 @@ def test_texts_match_their_own_query(spark):
 def test_csv_cells(spark):
     cells = one(spark, T.csv_cells(F.col("t")), text='_time, "host, name" ,"say ""hi""",,last')[0]
     assert cells == ["_time", "host, name", 'say "hi"', "", "last"]
+
+
+def test_casefold_of_every_special_character(spark):
+    single, several = T.extra_foldings()
+    texts = [*single, *several, "", "plain", "É plain", "Straße", "STRAẞE ß ﬁ", "ΑΣ ς Σß", "ΐ" * 3 + "ßß", "".join(several), "ABC" + "".join(single) + "ß"]
+    folded = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", T.casefold(F.col("t")).alias("f"))
+    for r in folded.collect():
+        want = None if r.t is None else "".join(single.get(c, several.get(c, c)) for c in r.t).lower()
+        assert r.f == want, r.t
