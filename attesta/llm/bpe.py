@@ -182,8 +182,13 @@ def frequent_pieces(docs: DataFrame, ranks: Ranks, cache_docs: int, cache_pieces
     counted = pieces.where(F.length("piece") <= CACHE_PIECE_CHARS).groupBy("piece").count()
     top = counted.orderBy(F.desc("count"), "piece").limit(cache_pieces).repartition(docs.sparkSession.sparkContext.defaultParallelism, "piece")
     # the driver keeps the description of every plan: cut those that hold the literal tables
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "20000")
-    found = top.select("piece", encode_piece(F.col("piece"), ranks).alias("ids")).toArrow()
+    conf = docs.sparkSession.conf
+    length = conf.get("spark.sql.maxPlanStringLength")
+    conf.set("spark.sql.maxPlanStringLength", "20000")
+    try:
+        found = top.select("piece", encode_piece(F.col("piece"), ranks).alias("ids")).toArrow()
+    finally:
+        conf.set("spark.sql.maxPlanStringLength", length)  # for the other plans of the session
     del ranks.pairs, ranks.placed
     ends = np.cumsum(pa.compute.list_value_length(found["ids"]).to_numpy())
     coded = np.concatenate([c.flatten().to_numpy() for c in found["ids"].chunks] or [np.empty(0)]).astype("<u4").tobytes()
